@@ -42,9 +42,9 @@ class IndexSettings:
     max_cells: int = 4096
     parts: int = 12
     codes: int = 64
-    probes: int = 12
+    probes: int = 5
     #: Candidates of a cell that are ranked exactly.
-    rerank: int = 12
+    rerank: int = 64
     block_rows: int = 16_000
     seed: int = 17
 
@@ -208,7 +208,7 @@ def search_block(table: pa.Table, q: Quantizer, k: int, min_cos: float) -> pa.Ta
     self_row = {h: i for i, h in enumerate(bh)}
     self_of = np.array([self_row.get(h, -1) for h in ah])
     got_q, got_b = [], []
-    floor = min_cos - 0.12 if min_cos > -1 else -9.0  # the scores are off by what the codes lose
+    floor = min_cos - 0.3 if min_cos > -1 else -9.0  # the scores are off by what the codes lose
     for c in np.unique(c_sorted):
         members = by_cell[np.searchsorted(c_sorted, c) : np.searchsorted(c_sorted, c, "right")]
         asking = p_row[by_probe[np.searchsorted(p_sorted, c) : np.searchsorted(p_sorted, c, "right")]]
