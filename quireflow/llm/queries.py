@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.catalog import Catalog, table
-from quireflow.llm import neighbours, splitting, tokenize
+from quireflow.llm import markup, neighbours, quality, splitting, tokenize
+from quireflow.runtime import materialize
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -49,3 +50,45 @@ def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids of each document by byte_bpe_50k."""
     return tokenize.encode_ids(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Pages and chunks as (rec, row_id, doc_id, text)."""
+    pages = table(spark, d, "canonical_pages").select(F.lit("page").alias("rec"), "row_id", "doc_id", "text")
+    return pages.unionByName(table(spark, d, "chunks").select(F.lit("chunk").alias("rec"), "row_id", "doc_id", "text"))
+
+
+def _page_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics and prose distance of every page row."""
+    stats = materialize(quality.text_statistics(table(spark, d, "canonical_pages"), ["row_id"], "text"), "page-statistics")
+    return quality.prose_distance(stats, quality.fit_prose(stats))
+
+
+def _no_prose(spark: SparkSession, d: str) -> DataFrame:
+    return _page_quality(spark, d).where("NOT is_prose").select(F.lit("page").alias("rec"), "row_id")
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of prose that hold markup."""
+    marked = markup.clean_markup(_records(spark, d), ["rec", "row_id"], "text", only_marked=True)
+    return marked.select("rec", "row_id").join(_no_prose(spark, d), ["rec", "row_id"], "left_anti").distinct()
+
+
+@query("p1_clean")
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text of every page and chunk."""
+    return markup.clean_markup(_records(spark, d), ["rec", "row_id"], "text")
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with content that are no natural prose."""
+    return _page_quality(spark, d).where("NOT is_prose").select("row_id").distinct()
+
+
+@query("p3_statistics")
+def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of every page beside the recorded counts, with the distance from prose and what adds to it."""
+    recorded = table(spark, d, "canonical_pages").select("row_id", "word_count", "char_count")
+    return recorded.join(_page_quality(spark, d), "row_id")
