@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 #: Statistics of the distance: logarithms make them near to normal in prose.
 FEATURES = ["f_words", "f_length", "f_symbols", "f_ends", "f_common"]
+CONTRIBUTIONS = ["by_words", "by_length", "by_symbols", "by_line_ends", "by_common"]
 #: Rows that a fit of its own needs.
 LEAST_ROWS = 60
 #: Squared radius within which a row counts as prose during the fit, and beyond which it is no prose.
@@ -101,12 +102,12 @@ def text_statistics(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     )
 
 
-def _moments(stats: DataFrame, inside: Column) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
-    """Count, mean and covariance of the rows inside, for each language and for all under ''."""
+def _moments(inside: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
+    """Count, mean and covariance of the rows, for each language and for all under ''."""
     k = len(FEATURES)
-    sums = [F.sum(F.when(inside, F.col(a))).alias(f"s{i}") for i, a in enumerate(FEATURES)]
-    cross = [F.sum(F.when(inside, F.col(FEATURES[i]) * F.col(FEATURES[j]))).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
-    rows = stats.rollup("language").agg(F.sum(inside.cast("int")).alias("n"), *sums, *cross).collect()  # a row for each language
+    sums = [F.sum(a).alias(f"s{i}") for i, a in enumerate(FEATURES)]
+    cross = [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
+    rows = inside.rollup("language").agg(F.count("*").alias("n"), *sums, *cross).collect()  # a row for each language
     found = {}
     for r in rows:
         if r["n"]:
@@ -123,13 +124,24 @@ def _with_default(fits: dict) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return {x: (fits[x][1], fits[x][2]) if x in fits and fits[x][0] >= LEAST_ROWS else base for x in COMMON}
 
 
-def _weighted(fits: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[list[Column], list[Column]]:
-    """Deviation of each statistic, and its contribution to the squared distance."""
-    inverse = {x: np.linalg.inv(c) for x, (_, c) in fits.items()}
-    pick = lambda f: reduce(lambda rest, x: F.when(F.col("language") == x, F.lit(float(f(x)))).otherwise(rest), fits, F.lit(float(f("en"))))
-    off = [F.col(a) - pick(lambda x, i=i: fits[x][0][i]) for i, a in enumerate(FEATURES)]
-    parts = [off[i] * reduce(lambda a, b: a + b, [off[j] * pick(lambda x, i=i, j=j: inverse[x][i, j]) for j in range(len(FEATURES))]) for i in range(len(FEATURES))]
-    return off, parts
+def _parts(stats: DataFrame, fits: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``stats`` with CONTRIBUTIONS: the share of each statistic in the squared distance from the prose of its language.
+
+    The fits are one literal map from language to numbers, so plans stay small.
+    """
+    k = len(FEATURES)
+    entries: list[Column] = []
+    for lang, (mean, cov) in fits.items():
+        entries += [F.lit(lang), F.array(*[F.lit(float(v)) for v in (*mean, *np.linalg.inv(cov).ravel())])]
+    own = stats.withColumn("_fit", F.element_at(F.create_map(*entries), F.col("language")))
+    at = lambda i: F.get("_fit", F.lit(i))
+    own = own.withColumns({f"_d{i}": F.col(a) - at(i) for i, a in enumerate(FEATURES)})
+    parts = {c: F.col(f"_d{i}") * reduce(lambda x, y: x + y, [F.col(f"_d{j}") * at(k + i * k + j) for j in range(k)]) for i, c in enumerate(CONTRIBUTIONS)}
+    return own.withColumns(parts).drop("_fit", *[f"_d{i}" for i in range(k)])
+
+
+def _squared() -> Column:
+    return F.greatest(reduce(lambda x, y: x + y, [F.col(c) for c in CONTRIBUTIONS]), F.lit(0.0))
 
 
 def fit_prose(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -139,17 +151,13 @@ def fit_prose(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     if middle is None:
         return _with_default({})
     spread = usable.agg(F.percentile_approx(F.abs(F.col("f_common") - middle), 0.5, 1000).alias("m")).first()["m"]
-    inside = F.abs(F.col("f_common") - middle) <= 9 * max(spread, 0.01)
+    inside = usable.where(F.abs(F.col("f_common") - middle) <= 9 * max(spread, 0.01))
     for _ in range(ROUNDS):
-        fits = _with_default(_moments(usable, inside))
-        inside = reduce(lambda a, b: a + b, _weighted(fits)[1]) < FIT_RADIUS**2
-    return _with_default(_moments(usable, inside))
+        inside = _parts(usable, _with_default(_moments(inside))).where(_squared() < FIT_RADIUS**2)
+    return _with_default(_moments(inside))
 
 
 def prose_distance(stats: DataFrame, fits: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """``stats`` with distance, is_prose and the contribution of each statistic to the squared distance."""
-    names = ["by_words", "by_length", "by_symbols", "by_line_ends", "by_common"]
-    parts = _weighted(fits)[1]
-    scored = stats.select("*", *[p.alias(a) for p, a in zip(parts, names)])
-    distance = F.sqrt(F.greatest(reduce(lambda a, b: a + b, [F.col(a) for a in names]), F.lit(0.0)))
-    return scored.withColumn("distance", distance).withColumn("is_prose", F.col("distance") <= OUTLIER_RADIUS).drop(*FEATURES)
+    scored = _parts(stats, fits).withColumn("distance", F.when(F.col("language").isNotNull(), F.sqrt(_squared())))
+    return scored.withColumn("is_prose", F.col("distance") <= OUTLIER_RADIUS).drop(*FEATURES)
