@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.catalog import Catalog, table
-from quireflow.llm import markup, neighbours, quality, splitting, tokenize
+from quireflow.llm import markup, neighbours, quality, scan, splitting, tokenize
 from quireflow.runtime import materialize
 
 CATALOG = Catalog()
@@ -92,3 +92,16 @@ def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of every page beside the recorded counts, with the distance from prose and what adds to it."""
     recorded = table(spark, d, "canonical_pages").select("row_id", "word_count", "char_count")
     return recorded.join(_page_quality(spark, d), "row_id")
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of prose that hold noise of scanning."""
+    noisy = scan.find_noise(_records(spark, d), ["rec", "row_id"])
+    return noisy.join(_no_prose(spark, d), ["rec", "row_id"], "left_anti")
+
+
+@query("p2_repaired")
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Continuous text of every page and chunk."""
+    return scan.repair(_records(spark, d), ["rec", "row_id"])
