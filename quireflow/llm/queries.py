@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.catalog import Catalog, table
-from quireflow.llm import markup, neighbours, quality, scan, splitting, tokenize
+from quireflow.llm import encodings, markup, neighbours, quality, scan, splitting, tokenize
 from quireflow.runtime import materialize
 
 CATALOG = Catalog()
@@ -105,3 +105,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
     """Continuous text of every page and chunk."""
     return scan.repair(_records(spark, d), ["rec", "row_id"])
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that were decoded with a wrong encoding, wholly or in part."""
+    return encodings.find_garbled(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("p9_restored")
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Original text of the documents with garbled words, where it can be had."""
+    return encodings.restore(table(spark, d, "documents"), "doc_id", "text")
