@@ -151,7 +151,8 @@ def _form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _garbled(units: DataFrame, unit: str, times: Column) -> DataFrame:
     """(``unit``, clean, chain) of the units that are a garbled form of one that is so many times as frequent."""
-    table = units.where("n >= 2").select(unit, "n").mapInArrow(_form_batches, "form string, chain int, clean string, n_clean bigint")
+    spread = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = units.where("n >= 2").select(unit, "n").repartition(spread).mapInArrow(_form_batches, "form string, chain int, clean string, n_clean bigint")
     met = units.join(table, F.col(unit) == F.col("form")).where(F.col("n_clean") >= times * F.col("n"))
     best = met.groupBy(unit).agg(F.min_by(F.struct("clean", "chain"), F.struct(-F.col("n_clean"), "chain")).alias("b"))
     return best.select(unit, "b.clean", "b.chain")
