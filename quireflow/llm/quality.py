@@ -39,7 +39,8 @@ CONTRIBUTIONS = ["by_words", "by_length", "by_symbols", "by_line_ends", "by_comm
 LEAST_ROWS = 60
 #: Squared radius within which a row counts as prose during the fit, and beyond which it is no prose.
 FIT_RADIUS, OUTLIER_RADIUS = 6.0, 8.7
-ROUNDS = 5
+#: Rounds of the fit at most, and the share of rows that may still move when it ends.
+ROUNDS, SETTLED = 8, 0.001
 #: Mean and standard deviation of plain English prose, for tables too small for a fit.
 DEFAULT_FIT = ([5.6, 1.57, -3.78, 0.54, 0.41], [0.38, 0.036, 0.26, 0.36, 0.041])
 
@@ -178,9 +179,14 @@ def fit_prose(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         return _with_default({})
     spread = usable.agg(F.percentile_approx(F.abs(F.col("f_common") - middle), 0.5, 1000).alias("m")).first()["m"]
     inside = usable.where(F.abs(F.col("f_common") - middle) <= 9 * max(spread, 0.01))
+    before = 0
     for _ in range(ROUNDS):
-        inside = _parts(usable, _with_default(_moments(inside))).where(_squared() < FIT_RADIUS**2)
-    return _with_default(_moments(inside))
+        found = _moments(inside)
+        rows = found[""][0] if "" in found else 0
+        if abs(rows - before) <= SETTLED * rows:
+            break
+        before, inside = rows, _parts(usable, _with_default(found)).where(_squared() < FIT_RADIUS**2)
+    return _with_default(found)
 
 
 def prose_distance(stats: DataFrame, fits: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
