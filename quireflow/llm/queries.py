@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.catalog import Catalog, table
-from quireflow.llm import encodings, markup, neighbours, quality, scan, splitting, tokenize
+from quireflow.llm import encodings, markup, neighbours, overlap, quality, scan, splitting, tokenize
 from quireflow.runtime import materialize
 
 CATALOG = Catalog()
@@ -117,3 +117,19 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     """Original text of the documents with garbled words, where it can be had."""
     return encodings.restore(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a train record and a dev or test record that ask the same."""
+    pairs = overlap.find_overlaps(table(spark, d, "retrieval_queries"))
+    return pairs.select(F.least("train_id", "held_id").alias("query_a"), F.greatest("train_id", "held_id").alias("query_b")).distinct()
+
+
+@query("p4_counts")
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs and evaluation records that overlap with train, for each split and source."""
+    queries = table(spark, d, "retrieval_queries")
+    held = queries.select(F.col("query_id").alias("held_id"), F.lower(F.regexp_replace("split", r"^\s+|\s+$", "")).alias("split"), "source").distinct()
+    pairs = overlap.find_overlaps(queries).groupBy("held_id").agg(F.count("*").alias("n"))
+    return held.join(pairs, "held_id").groupBy("split", "source").agg(F.sum("n").alias("n_pairs"), F.countDistinct("held_id").alias("n_records"))
