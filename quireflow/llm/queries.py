@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.catalog import Catalog, table
-from quireflow.llm import encodings, markup, neighbours, overlap, quality, scan, splitting, tokenize
+from quireflow.llm import encodings, markup, mixing, neighbours, overlap, quality, scan, splitting, tokenize
 from quireflow.runtime import materialize
 
 CATALOG = Catalog()
@@ -133,3 +133,23 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     held = queries.select(F.col("query_id").alias("held_id"), F.lower(F.regexp_replace("split", r"^\s+|\s+$", "")).alias("split"), "source").distinct()
     pairs = overlap.find_overlaps(queries).groupBy("held_id").agg(F.count("*").alias("n"))
     return held.join(pairs, "held_id").groupBy("split", "source").agg(F.sum("n").alias("n_pairs"), F.countDistinct("held_id").alias("n_records"))
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their length in tokens of byte_bpe_50k, encoded once."""
+    documents = table(spark, d, "documents")
+    counts = tokenize.token_counts(documents, "doc_id", "text", carry=["source"])
+    return materialize(counts, "mix-sizes")
+
+
+@query("p8_mix")
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the mixture and how often each is taken."""
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))
+
+
+@query("p8_shares")
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    sized, targets = _sized(spark, d), table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(sized, targets), sized, targets)

@@ -125,7 +125,8 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, counts_only: b
     split = regex.compile(SPLIT).findall
     known: dict[str, list[int]] = {}
     for batch in batches:
-        keys, texts = batch.column(0), batch.column(1).to_pylist()
+        keys, texts = batch.columns[:-1], batch.column(batch.num_columns - 1).to_pylist()
+        names = batch.schema.names[:-1]
         start = 0
         while start < len(texts):
             stop, size = start, 0
@@ -140,7 +141,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, counts_only: b
                 known.update(zip(new, replay.encode(new)))
             if counts_only:
                 sizes = pa.array([sum([len(known[w]) for w in ws]) for ws in words], pa.int64())
-                yield pa.RecordBatch.from_arrays([keys.slice(start, stop - start), sizes], ["key", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*(k.slice(start, stop - start) for k in keys), sizes], [*names, "n_tokens"])
             else:
                 flat: list[int] = []
                 offsets = [0]
@@ -149,7 +150,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, counts_only: b
                         flat += known[w]
                     offsets.append(len(flat))
                 ids = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), pa.array(np.array(flat, np.int32)))
-                yield pa.RecordBatch.from_arrays([keys.slice(start, stop - start), ids], ["key", "ids"])
+                yield pa.RecordBatch.from_arrays([*(k.slice(start, stop - start) for k in keys), ids], [*names, "ids"])
             start = stop
 
 
@@ -164,12 +165,9 @@ def encode_ids(df: DataFrame, key: str, text: str, vocabulary: str | None = None
     )
 
 
-def token_counts(df: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
-    """One row (``key``, ``n_tokens``) for each row of ``df``: the length of its encoding."""
+def token_counts(df: DataFrame, key: str, text: str, vocabulary: str | None = None, carry: list[str] | None = None) -> DataFrame:
+    """One row (``key``, ``carry``, ``n_tokens``) for each row of ``df``: the length of its encoding."""
     path = vocabulary or default_vocabulary()
-    kind = df.schema[key].dataType.simpleString()
-    return (
-        df.select(df[key].alias("key"), df[text].alias("text"))
-        .mapInArrow(lambda b: _encode_batches(b, path, True), f"key {kind}, n_tokens bigint")
-        .withColumnRenamed("key", key)
-    )
+    names = [key, *(carry or [])]
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in names)
+    return df.select(*names, df[text].alias("_text")).mapInArrow(lambda b: _encode_batches(b, path, True), f"{kinds}, n_tokens bigint")
