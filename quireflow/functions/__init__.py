@@ -1 +1 @@
-"""Part of quireflow."""
+"""Column functions shared by the operators."""

@@ -1,4 +1,4 @@
-"""Queries over the driver's tables, one per operator."""
+"""Queries over the driver's tables, one per operator, each with its SQL twin where SQL can tell."""
 
 from __future__ import annotations
 
@@ -6,4 +6,9 @@ from quireflow.catalog import Catalog
 
 
 def catalog() -> Catalog:
-    return Catalog()
+    from quireflow.plans import aggregates, boxes, chunks, evaluation, ordered, records, search, texts
+
+    c = Catalog()
+    for module in (texts, chunks, boxes, search, aggregates, evaluation, ordered, records):
+        module.register(c)
+    return c

@@ -1 +1 @@
-"""Part of quireflow."""
+"""Readers and writers of the record formats."""

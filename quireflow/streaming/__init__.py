@@ -1 +1 @@
-"""Part of quireflow."""
+"""Streaming layer over event tables (an extension: the batch operators need none of it)."""
