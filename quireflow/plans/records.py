@@ -36,7 +36,7 @@ def register(c: Catalog) -> None:
         own = table(s, d, "retrieval_queries").select(F.to_json(F.struct("query_id", F.col("page_ids").alias("gold_pages"), F.array().cast("array<string>").alias("page_ids"))).alias("value"))
         return jsonl.retrieval_queries(own).select("query_id", F.col("page_ids").alias("pages"), "type")
 
-    @q("s8_blocks", """SELECT 'p' || lpad(CAST(l_orderkey + 1 AS VARCHAR), greatest(4, length(CAST(l_orderkey + 1 AS VARCHAR))), '0') AS page_id, l_linenumber AS n, least(l_partkey % 80, 90) / 100.0::DOUBLE AS x0, least(l_partkey % 80 + CAST(l_quantity AS BIGINT), 100) / 100.0::DOUBLE AS x1 FROM lineitem""")
+    @q("s8_blocks", """SELECT 'p' || lpad(CAST(l_orderkey + 1 AS VARCHAR), CAST(greatest(4, length(CAST(l_orderkey + 1 AS VARCHAR))) AS INT), '0') AS page_id, l_linenumber AS n, least(l_partkey % 80, 90) / 100.0::DOUBLE AS x0, least(l_partkey % 80 + CAST(l_quantity AS BIGINT), 100) / 100.0::DOUBLE AS x1 FROM lineitem""")
     def _(s, d):
         x, w = F.col("l_partkey") % 80, F.col("l_quantity").cast("bigint")
         box = F.array(x.cast("double"), F.lit(0.0), (x + w).cast("double"), F.lit(50.0))
