@@ -14,7 +14,6 @@ DAY = "CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT)"
 def register(c: Catalog) -> None:
     q = c.query
     ev = lambda s, d: table(s, d, "events")
-    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
 
     @q("a1_corpus_stats", """SELECT count(*) AS rows, count(*) FILTER (coalesce(trim(text), '') <> '') AS filled, count(*) FILTER (ocr_source IS NULL) AS unsourced, CAST(sum(word_count) AS BIGINT) AS words FROM canonical_pages""")
     def _(s, d):
@@ -92,7 +91,7 @@ def register(c: Catalog) -> None:
 
     @q("a22_usage", f"SELECT {DAY} AS day, round(sum(value), 4) AS used FROM events GROUP BY 1")
     def _(s, d):
-        return ev(s, d).groupBy(day.cast("bigint").alias("day")).agg(F.round(F.sum("value"), 4).alias("used"))
+        return ev(s, d).groupBy(F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("bigint").alias("day")).agg(F.round(F.sum("value"), 4).alias("used"))
 
     @q("a23_latency", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1")
     def _(s, d):
