@@ -31,6 +31,13 @@ def running_offsets(df: DataFrame, order: list[str], count: str, name: str = "of
     return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_base") + F.coalesce(run, F.lit(0))).drop("_part", "_base")
 
 
+def sequence(df: DataFrame, group: str, order: list[str], name: str = "seq") -> DataFrame:
+    """Numbers from 1 within each group. Taken from the places in the whole order, so a group that holds much of the table fills no single task."""
+    placed = materialize(running_offsets(df.withColumn("_one", F.lit(1)), [group, *order], "_one", "_at").drop("_one"), "sequence")
+    first = placed.groupBy(F.col(group).alias("_g")).agg(F.min("_at").alias("_first"))
+    return placed.join(first, F.col(group).eqNullSafe(F.col("_g"))).withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_g", "_at", "_first")
+
+
 def runs(df: DataFrame, group: list[str], order: list[Column], value: str, name: str = "run") -> DataFrame:
     """Number of the run of equal values, counted from 1 in each group."""
     w = Window.partitionBy(*group).orderBy(*order)

@@ -125,6 +125,9 @@ def register(c: Catalog) -> None:
     @q("e17_corroboration", """SELECT c.row_id, CASE WHEN c.page_ids IS NULL OR len(c.page_ids) = 0 THEN 'no signal' WHEN list_has_any(c.page_ids, coalesce(p.pages, [])) THEN 'agree' ELSE 'disagree' END AS verdict
         FROM chunks c LEFT JOIN (SELECT doc_id, list(DISTINCT page_id) AS pages FROM canonical_pages GROUP BY 1) p ON c.doc_id = p.doc_id""")
     def _(s, d):
-        pages = table(s, d, "canonical_pages").groupBy("doc_id").agg(F.collect_set("page_id").alias("pages"))
-        verdict = F.when(F.coalesce(F.size("page_ids"), F.lit(0)) <= 0, "no signal").when(F.arrays_overlap("page_ids", F.coalesce("pages", F.array().cast("array<string>"))), "agree").otherwise("disagree")
-        return table(s, d, "chunks").join(pages, "doc_id", "left").select("row_id", verdict.alias("verdict"))
+        # Pages are joined one by one: a set of all pages of a book would grow with the book.
+        pages = table(s, d, "canonical_pages").select("doc_id", "page_id").distinct().withColumn("there", F.lit(1))
+        chunks = table(s, d, "chunks").select("row_id", "doc_id", "page_ids")
+        seen = chunks.select("row_id", "doc_id", F.explode("page_ids").alias("page_id")).join(pages, ["doc_id", "page_id"]).groupBy("row_id").agg(F.max("there").alias("there"))
+        verdict = F.when(F.coalesce(F.size("page_ids"), F.lit(0)) <= 0, "no signal").when(F.col("there").isNotNull(), "agree").otherwise("disagree")
+        return chunks.join(seen, "row_id", "left").select("row_id", verdict.alias("verdict"))

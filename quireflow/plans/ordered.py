@@ -25,7 +25,8 @@ def register(c: Catalog) -> None:
 
     @q("w3_sequence", "SELECT row_id, doc_id || ':r' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_num, row_id) AS VARCHAR), 4, '0') AS seq FROM canonical_pages")
     def _(s, d):
-        return table(s, d, "canonical_pages").select("row_id", F.format_string("%s:r%04d", "doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num", "row_id"))).alias("seq"))
+        own = table(s, d, "canonical_pages").select("row_id", "doc_id", "page_num")
+        return W.sequence(own, "doc_id", ["page_num", "row_id"]).select("row_id", F.format_string("%s:r%04d", "doc_id", "seq").alias("seq"))
 
     @q("w5_look_ahead", "SELECT event_id, lead(event_type, 1) OVER w AS next_1, lead(event_type, 2) OVER w AS next_2, lead(event_type, 3) OVER w AS next_3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
     def _(s, d):

@@ -43,11 +43,11 @@ def register(c: Catalog) -> None:
         row = F.struct((F.col("l_orderkey") + 1).cast("string").alias("book_page"), box.alias("bbox"), F.array(*[F.lit(v) for v in (0.0, 0.0, 100.0, 100.0)]).alias("page_box"), F.col("l_linenumber").cast("string").alias("content"))
         return jsonl.blocks(table(s, d, "lineitem").select(F.to_json(row).alias("value"))).select("page_id", F.col("content").cast("int").alias("n"), "x0", "x1")
 
-    @q("s12_page_texts", "SELECT doc_id, string_agg(text, chr(10) ORDER BY page_num, row_id) AS text FROM canonical_pages WHERE coalesce(text, '') <> '' GROUP BY 1")
+    @q("s12_page_texts", "SELECT doc_id, page_id, string_agg(text, chr(10) ORDER BY page_num, row_id) AS text FROM canonical_pages WHERE coalesce(text, '') <> '' GROUP BY 1, 2")
     def _(s, d):
         own = table(s, d, "canonical_pages").where("coalesce(text, '') <> ''")
         listed = F.sort_array(F.collect_list(F.struct("page_num", "row_id", "text")))
-        return own.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("text"))
+        return own.groupBy("doc_id", "page_id").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("text"))
 
     @q("s14_unique_labels", "SELECT doc_id, text FROM doc_labels")
     def _(s, d):
