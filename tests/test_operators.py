@@ -221,3 +221,11 @@ def test_empty_tables(spark):
     assert C.fixed_windows(none, ["id"], "text").count() == 0
     assert R.exact_top_k(none, none, "id", "v").count() == 0
     assert V.exact_duplicates(none, "id", "text").count() == 0
+
+
+def test_materialize_and_clean(spark):
+    from quireflow.runtime import clean, materialize, shared_dir
+
+    kept = materialize(spark.range(5), "kept")
+    assert kept.count() == 5 and shared_dir(spark) in kept.inputFiles()[0]
+    assert clean(spark) >= 1 and clean(spark) == 0
