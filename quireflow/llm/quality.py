@@ -11,6 +11,8 @@ they settle, so that lists and junk do not enter the fit. Every round is one agg
 of sums, whatever the number of rows. The distance of a row is split exactly into the
 contributions of its statistics.
 
+A text in which common words of no language make up ``LEAST_COMMON`` has language "und".
+
 Defined results: null, empty and blank texts have counts of 0, null ratios, a null
 distance and are neither prose nor outliers; a text of nothing but markup counts as one
 without common words. A language with fewer than ``LEAST_ROWS`` rows uses the fit over
@@ -35,24 +37,26 @@ from pyspark.sql import functions as F
 #: Statistics of the distance: logarithms make them near to normal in prose.
 FEATURES = ["f_words", "f_length", "f_symbols", "f_ends", "f_common"]
 CONTRIBUTIONS = ["by_words", "by_length", "by_symbols", "by_line_ends", "by_common"]
+#: Share of common words below which no language is told ("und"); such rows are judged by the fit over all languages and enter none.
+LEAST_COMMON = 0.12
 #: Rows that a fit of its own needs.
 LEAST_ROWS = 60
 #: Squared radius within which a row counts as prose during the fit, and beyond which it is no prose.
-FIT_RADIUS, OUTLIER_RADIUS = 6.0, 8.7
+FIT_RADIUS, OUTLIER_RADIUS = 6.0, 9.5
 #: Rounds of the fit at most, and the share of rows that may still move when it ends.
 ROUNDS, SETTLED = 8, 0.001
 #: Mean and standard deviation of plain English prose, for tables too small for a fit.
 DEFAULT_FIT = ([5.6, 1.57, -3.78, 0.54, 0.41], [0.38, 0.036, 0.26, 0.36, 0.041])
 
-# Common words of each language.
+# Common words of each language; single letters are left out, for they label figures too.
 COMMON = {
     "en": "about above after again all also although among an and any are as at be because been before being between both but by can could did do does during each every few for from had has have he her his how if in into is it its may might more most must no nor not of on once only or other our own said same shall she should so some such than that the their them then there these they this those though through to too under until upon us very was we were what when where which while who whom whose will with would yet you your",
     "de": "aber als am an auch auf aus bei das dass dem den der des die durch ein eine einem einen einer eines für haben hat ich im in ist kann mit nach nicht noch oder sein sich sie sind und vom von vor war wenn wie wird zu zum zur",
     "fr": "au aux avec ce ces cette dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour que qui sa sans se ses son sont sur un une vous",
-    "es": "al como con de del el en es esta este la las lo los más no para pero por que se sin sobre su sus también un una y",
-    "pt": "ao aos as com como da das de do dos e em entre mais mas na nas no não nos o os ou para pela pelo por que se sem seu sua também um uma",
-    "pl": "ale bez być co dla do go i ich jak jest jeżeli już ma na nie od oraz po przed przez przy się są tak tego to w wśród z za że",
-    "ru": "без был была было в во вы для до его ее если же за и из или их к как на не но о от по при с со так то что это",
+    "es": "al como con de del el en es esta este la las lo los más no para pero por que se sin sobre su sus también un una",
+    "pt": "ao aos as com como da das de do dos em entre mais mas na nas no não nos os ou para pela pelo por que se sem seu sua também um uma",
+    "pl": "ale bez być co dla do go ich jak jest jeżeli już ma na nie od oraz po przed przez przy się są tak tego to wśród za że",
+    "ru": "без был была было во вы для до его ее если же за из или их как на не но от по при со так то что это",
 }
 _MARKUP = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]{0,200}>|&lt;/?[A-Za-z].{0,200}?&gt;|&#?\w{1,10};", re.S)
 _SYMBOL = re.compile(r"[^\w\s]|_")
@@ -96,7 +100,7 @@ class _Reader:
         size = max(len(clean), 1)
         common = most / n
         return (
-            len(raw), len(text), solid / n, symbols / size, ends, common, list(COMMON)[counts.index(most)],
+            len(raw), len(text), solid / n, symbols / size, ends, common, list(COMMON)[counts.index(most)] if common >= LEAST_COMMON else "und",
             math.log(n), math.log(max(solid, 1) / n), math.log((symbols + 1) / size), ends, common,
         )
 
@@ -123,7 +127,7 @@ def text_statistics(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys`` with own_words, own_chars, mean_word_length, symbol_ratio, line_end_ratio, common_ratio, language and FEATURES.
 
     Made in Arrow batches: the same statistics by higher-order functions of the JVM took
-    seven times the CPU, as those are interpreted for each word.
+    four times the CPU, as those are interpreted for each word.
     """
     kinds = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), *(f"{a} {b}" for a, b in _COLUMNS)])
     return df.select(*keys, df[text].alias("_text")).mapInArrow(_batches, kinds)
@@ -148,7 +152,7 @@ def _with_default(fits: dict) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     mean, sd = map(np.array, DEFAULT_FIT)
     pooled = fits.get("")
     base = (pooled[1], pooled[2]) if pooled and pooled[0] >= LEAST_ROWS else (mean, np.diag(sd**2))
-    return {x: (fits[x][1], fits[x][2]) if x in fits and fits[x][0] >= LEAST_ROWS else base for x in COMMON}
+    return {x: (fits[x][1], fits[x][2]) if x in fits and fits[x][0] >= LEAST_ROWS else base for x in [*COMMON, "und"]}
 
 
 def _parts(stats: DataFrame, fits: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -173,7 +177,7 @@ def _squared() -> Column:
 
 def fit_prose(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Mean and covariance of prose for each language, from all rows of ``stats``."""
-    usable = stats.where(F.col("language").isNotNull())
+    usable = stats.where("language != 'und'")
     middle = usable.agg(F.percentile_approx("f_common", 0.5, 1000).alias("m")).first()["m"]
     if middle is None:
         return _with_default({})
