@@ -3,7 +3,9 @@
 Every distinct word of the corpus with letters or signs beyond ASCII that stands in two
 documents or more is garbled under all encoding chains, and the tokens of the documents
 are hash-joined with this table. A token is garbled if the corpus holds the word it would
-come from much more often than the token itself. The same is done for the pieces of words
+come from much more often than the token itself: in distinct texts, so that a garbled text
+under many ids does not outnumber its words, or in rows, so that a clean text under many ids
+counts as well, unless distinct texts say the reverse. The same is done for the pieces of words
 (a run of signs beyond ASCII with the kinds of its neighbours, and pairs of signs within
 long runs), for names and sentences whose clean form stands nowhere else. A token is
 restored by taking its chain back, where this gives the verified original.
@@ -45,8 +47,8 @@ CHAINS = [
 WIDE = {"utf-8", "gbk", "cp932", "big5", "shift_jis", "euc_jp"}
 #: How many times as often as a garbled form its original must stand: whole words, pieces of a chain that lengthens text, other pieces.
 WORD_TIMES, LONG_TIMES, PIECE_TIMES = 2, 3, 20
-#: Documents up to which a token may be judged by its pieces alone.
-RARE = 3
+#: Distinct texts up to which a token may be judged by its pieces alone: so many, or this share of all.
+RARE, RARE_SHARE = 3, 1e-4
 #: Longer words that a chain must have garbled before single signs are laid to it.
 SEEN = 3
 #: Length of a run beyond which it is judged by pairs of signs.
@@ -127,34 +129,40 @@ def forms(unit: str) -> Iterator[tuple[str, int]]:
 
 def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        ids, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, batch.schema.field(0).type), pa.array([bool(_HARD.search(t)) for t in texts], pa.bool_()), pa.array([sorted(tokens(t)) for t in texts], pa.list_(pa.string()))],
-            ["key", "hard", "tokens"],
+            [pa.array(ids, batch.schema.field(0).type), batch.column(1), pa.array([bool(_HARD.search(t)) for t in texts], pa.bool_()), pa.array([sorted(tokens(t)) for t in texts], pa.list_(pa.string()))],
+            ["key", "hash", "hard", "tokens"],
         )
 
 
 def _piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [sorted(pieces(t)) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["token", "n", "pieces"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.string()))], ["token", "n", "n_rows", "pieces"])
 
 
 def _form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        units, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        units = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
         for a in range(0, len(units), 2_000):
-            rows = [(g, i, u, n) for u, n in zip(units[a : a + 2_000], counts[a : a + 2_000]) for g, i in forms(u)]
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], ["form", "chain", "clean", "n_clean"])
+            rows = [(g, i, u, n, m) for u, n, m in units[a : a + 2_000] for g, i in forms(u)]
+            columns = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["form", "chain", "clean", "n_clean", "rows_clean"])
 
 
 def _garbled(units: DataFrame, unit: str, times: Column) -> DataFrame:
-    """(``unit``, clean, chain) of the units that are a garbled form of one that is so many times as frequent."""
+    """(``unit``, clean, chain) of the units that are a garbled form of one that is so many times as frequent.
+
+    Counts over distinct texts decide, or those over rows. A chain that does not lengthen text
+    may have its reverse among the chains: there rows decide only if texts do not say the reverse.
+    """
     spread = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = units.where("n >= 2").select(unit, "n").repartition(spread).mapInArrow(_form_batches, "form string, chain int, clean string, n_clean bigint")
-    met = units.join(table, F.col(unit) == F.col("form")).where(F.col("n_clean") >= times * F.col("n"))
-    best = met.groupBy(unit).agg(F.min_by(F.struct("clean", "chain"), F.struct(-F.col("n_clean"), "chain")).alias("b"))
+    table = units.where("n_rows >= 2").select(unit, "n", "n_rows").repartition(spread).mapInArrow(_form_batches, "form string, chain int, clean string, n_clean bigint, rows_clean bigint")
+    by_texts = F.col("n_clean") >= times * F.col("n")
+    by_rows = (F.col("rows_clean") >= times * F.col("n_rows")) & (_long_chain() | (F.col("n") <= times * F.col("n_clean")))
+    met = units.join(table, F.col(unit) == F.col("form")).where(by_texts | by_rows)
+    best = met.groupBy(unit).agg(F.min_by(F.struct("clean", "chain"), F.struct(-F.col("n_clean"), -F.col("rows_clean"), "chain")).alias("b"))
     return best.select(unit, "b.clean", "b.chain")
 
 
@@ -164,35 +172,33 @@ def _long_chain() -> Column:
 
 def _own(df: DataFrame, key: str, text: str) -> DataFrame:
     """Tokens beyond ASCII of the rows that have any, written once."""
-    own = df.select(df[key].alias("key"), df[text].alias("text")).where(F.col("text").rlike(r"[^\x00-\x7F]"))
-    return materialize(own.mapInArrow(_token_batches, f"key {df.schema[key].dataType.simpleString()}, hard boolean, tokens array<string>"), "encoding-tokens")
+    own = df.select(df[key].alias("key"), F.md5(df[text]).alias("hash"), df[text].alias("text")).where(F.col("text").rlike(r"[^\x00-\x7F]"))
+    return materialize(own.mapInArrow(_token_batches, f"key {df.schema[key].dataType.simpleString()}, hash string, hard boolean, tokens array<string>"), "encoding-tokens")
 
 
 def garbled_tokens(read: DataFrame) -> DataFrame:
     """(token, chain) of the garbled tokens; chain is null where no single chain is known."""
-    words = materialize(read.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")), "encoding-words")
+    texts = read.groupBy("hash").agg(F.first("tokens").alias("tokens"), F.count("*").alias("copies"))
+    words = materialize(texts.select("copies", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum("copies").alias("n_rows")), "encoding-words")
+    rare = max(RARE, int(RARE_SHARE * read.select("hash").distinct().count()))
     whole = materialize(_garbled(words, "token", F.lit(WORD_TIMES)), "encoding-whole")
     # A chain that turns up in no longer words is a chance likeness of signs.
     seen = whole.where("length(token) >= 4").groupBy("chain").count().where(f"count >= {SEEN}").select("chain")  # a row for each chain at most
     whole = whole.where("length(token) >= 3").unionByName(whole.where("length(token) < 3").join(seen, "chain", "left_semi").select(*whole.columns))
-    cut = materialize(words.mapInArrow(_piece_batches, "token string, n bigint, pieces array<string>"), "encoding-pieces")
-    exploded = cut.select("token", "n", F.explode("pieces").alias("piece"))
-    units = exploded.groupBy("piece").agg(F.sum("n").alias("n"))
+    cut = materialize(words.mapInArrow(_piece_batches, "token string, n bigint, n_rows bigint, pieces array<string>"), "encoding-pieces")
+    exploded = cut.select("token", "n", "n_rows", F.explode("pieces").alias("piece"))
+    units = exploded.groupBy("piece").agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows"))
     bad = _garbled(units, "piece", F.when(_long_chain(), F.lit(LONG_TIMES)).otherwise(F.lit(PIECE_TIMES)))
     bad = bad.where(_long_chain()).unionByName(bad.where(~_long_chain()).join(seen, "chain", "left_semi").select(*bad.columns))
     partly = (
         exploded.join(bad, "piece")
-        .where(_long_chain() | (F.col("n") <= RARE))
+        .where(_long_chain() | (F.col("n") <= rare))
         .groupBy("token", "chain")
         .agg(F.count("*").alias("votes"))
         .withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("votes"), "chain")))
         .where("place = 1")
     )
-    known = words.where(f"n > {RARE}").join(whole, "token", "left_anti").select("token")
-    partly = partly.join(whole, "token", "left_anti")
-    short = partly.join(known, "token", "left_anti")
-    lengthened = partly.where(_long_chain()).join(known, "token", "left_semi")
-    return whole.select("token", "chain").unionByName(short.unionByName(lengthened).select("token", "chain"))
+    return whole.select("token", "chain").unionByName(partly.join(whole, "token", "left_anti").select("token", "chain"))
 
 
 def find_garbled(df: DataFrame, key: str, text: str) -> DataFrame:

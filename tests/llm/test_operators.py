@@ -284,3 +284,12 @@ def test_garbled(spark):
     fixed = {r["doc_id"]: r["restored_text"] for r in encodings.restore(df.dropDuplicates(["doc_id"]), "doc_id", "text").collect()}
     assert {fixed[i] for i in (100, 101, 102, 103, 104, 205)} == {clean}
     assert encodings.find_garbled(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_garbled_copies(spark):
+    clean = "Größe und Käse benötigt"
+    rows = [(i, f"{clean} {i}") for i in range(12)]
+    rows += [(100 + i, encodings.misread(clean, (("mac_roman", "cp1252"),))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in encodings.find_garbled(df, "doc_id", "text").collect()) == list(range(100, 140))
+    assert {r["restored_text"] for r in encodings.restore(df, "doc_id", "text").collect()} == {clean}
