@@ -8,9 +8,10 @@ the suffix order. Texts of the training side are streamed through backward searc
 blocks: from each end the match is drawn out to the left until at most ``NARROW`` places
 of the shard remain, and these are its candidates. The spans of a pair are merged, and
 pairs that agree in more than ``LEAST_SPAN`` letters are verified word by word: every
-content word must have its counterpart, equal or a slip away. Texts whose sorted content
-words are equal are joined on them directly, which is exact however often they recur, so
-no match is lost where a phrase stands in more places than ``NARROW``.
+content word must have its counterpart, equal or a slip away. A phrase that stands in more
+places than ``NARROW`` gives no candidates. So texts are also joined on the multiset of their
+content words, whole or less ``LESS`` words at most on either side, which is exact however
+often they recur, and verified alike.
 
 A shard meets every block, since the training side is a stated query set run against all
 rows; a task holds one shard and one block, whatever the size of the corpus.
@@ -22,11 +23,13 @@ words at all are compared by all their words. Differing numbers are never slips.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ from quireflow.runtime import materialize
 
 SHARD_TEXTS, BLOCK_TEXTS = 30_000, 30_000
 NARROW, SHORTEST, LEAST_SPAN = 16, 6, 12
+#: Most content words of a text that may differ for it to be joined on the others.
+LESS = 2
 #: Share of the texts that makes a word one of the vocabulary, so that two such words are never slips of each other.
 KNOWN_SHARE, KNOWN_LEAST = 2e-4, 8
 
@@ -268,6 +273,42 @@ def _match(train: pa.Table, held: pa.Table, known: set[str]) -> pa.Table:
     return pa.table({"train_text": pa.array([x for x, _ in out], pa.string()), "held_text": pa.array([y for _, y in out], pa.string())})
 
 
+@lru_cache(200_000)
+def _word_hash(w: str) -> int:
+    return int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+
+
+def _less_batches(batches: Iterator[pa.RecordBatch], known: set[str]) -> Iterator[pa.RecordBatch]:
+    """(rest, id, less, firm): hash of the words that remain, how many were taken away and how many of these are of the vocabulary or numbers."""
+    for batch in batches:
+        rows = []
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = [(_word_hash(w), w in known or w.isdigit()) for w in text.split()]
+            whole = sum(h for h, _ in own)
+            for k in range(min(LESS, len(own)) + 1):
+                rows += {((whole - sum(h for h, _ in out) + (1 << 63)) % (1 << 64) - (1 << 63), i, k, sum(f for _, f in out)) for out in combinations(own, k)}
+        columns = list(zip(*rows)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["rest", "id", "less", "firm"])
+
+
+def _same_batches(batches: Iterator[pa.RecordBatch], known: set[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        same = [same_question(a.split(), b.split(), known) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield batch.filter(pa.array(same, pa.bool_()))
+
+
+def _nearly_equal(train: DataFrame, held: DataFrame, known: set[str]) -> DataFrame:
+    """(train_text, held_text) of texts that ask the same and differ in LESS words at most on either side."""
+    texts = {side: df.select(F.xxhash64("text").alias(f"{side}_id"), F.col("text").alias(f"{side}_text")) for side, df in (("train", train), ("held", held))}
+    less = {side: df.mapInArrow(lambda b: _less_batches(b, known), "rest bigint, id bigint, less int, firm int") for side, df in texts.items()}
+    a = less["train"].select("rest", F.col("id").alias("train_id"), F.col("less").alias("less_a"), F.col("firm").alias("firm_a"))
+    b = less["held"].select("rest", F.col("id").alias("held_id"), F.col("less").alias("less_b"), F.col("firm").alias("firm_b"))
+    # What same_question asks of words of the vocabulary: each needs a word outside it on the other side.
+    pairs = a.join(b, "rest").where("firm_a + firm_b <= least(less_a, less_b)").select("train_id", "held_id").distinct()
+    near = pairs.join(texts["train"], "train_id").join(texts["held"], "held_id").select("train_text", "held_text")
+    return near.mapInArrow(lambda b: _same_batches(b, known), "train_text string, held_text string")
+
+
 def sides(queries: DataFrame) -> DataFrame:
     """(query_id, side, text, sorted_text) of each record of the train and of the evaluation side, once for each id and text."""
     split = F.lower(F.regexp_replace("split", r"^\s+|\s+$", ""))
@@ -290,7 +331,7 @@ def overlapping_texts(rows: DataFrame) -> DataFrame:
     placed_held = held.select("text", F.pmod(F.xxhash64("text"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
     near = placed_train.groupBy("shard", "block").cogroup(placed_held.groupBy("shard", "block")).applyInArrow(lambda a, b: _match(a, b, known), "train_text string, held_text string")
     equal = train.select(F.col("text").alias("train_text"), "sorted_text").join(held.select(F.col("text").alias("held_text"), "sorted_text"), "sorted_text").select("train_text", "held_text")
-    return near.unionByName(equal).distinct()
+    return near.unionByName(equal).unionByName(_nearly_equal(train, held, known)).distinct()
 
 
 def find_overlaps(queries: DataFrame) -> DataFrame:

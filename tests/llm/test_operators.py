@@ -145,6 +145,16 @@ def test_overlap(spark):
     assert overlap.find_overlaps(df.limit(0)).count() == 0
 
 
+def test_overlap_hot_questions(spark):
+    wards = "quorv zembla tisk lopra mivun dathel sorbin yuncar pelth rovax".split()
+    slips = [f"What dose of torvaskham bark for dry croup of a {v}?" for v in ("mner", "miiner", "minor", "imner", "minre", "mineer", "minex", "miber", "mkner", "niner", "zminer", "mimer", "minner", "miiner", "mined", "miher", "mioner", "minerr", "mijer", "monner", "minerx", "mxiner")]
+    rows = [("t", "train", "What dose of torvaskham bark for dry croup of a miner?"), ("s", "train", "Cure of gout?"), ("e", "dev", "Cure of gouut?")]
+    rows += [(f"d{i}", "dev", q) for i, q in enumerate(slips)] + [(f"w{i}", "dev", f"What dose of torvaskham bark for dry croup of a {w}?") for i, w in enumerate(wards)]
+    got = {(r["train_id"], r["held_id"]) for r in overlap.find_overlaps(spark.createDataFrame(rows, "query_id string, split string, question string")).collect()}
+    assert got == {("s", "e")} | {("t", f"d{i}") for i, q in enumerate(slips) if overlap.slip("miner", q[:-1].split()[-1])}
+    assert len(got) > overlap.NARROW
+
+
 def test_slips():
     assert overlap.slip("vaskorum", "vakorum") and overlap.slip("seamstress", "seamtsress") and overlap.slip("chr0nic", "chronic")
     assert not overlap.slip("12", "13") and not overlap.slip("dose", "taste") and not overlap.slip("colour", "odour")
