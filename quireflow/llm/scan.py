@@ -1,6 +1,6 @@
 """Repair of text from scanned pages: anagram-hash corrections, edge lines and hyphens.
 
-1. Words are counted over all rows. Those that make up at least ``LEXICON_SHARE`` of the
+1. Words are counted over distinct texts of a book, and over all rows. Those that make up at least ``LEXICON_SHARE`` of the
    text are the lexicon, so it never exceeds ``1 / LEXICON_SHARE`` words.
 2. Rare words are joined with frequent confusable variants in SQL. The anagram hash of a
    word is the sum of the fifth powers of its code points: a confusion changes it by a
@@ -15,7 +15,9 @@
    name of the book or repeat words that follow it elsewhere.
 
 Defined results: null and blank texts are unchanged and hold no noise. Markup is set aside
-before words are read. Repeated rows count as often as they stand. Tokens beyond
+before words are read. A text under many rows makes no word frequent or rare by itself: a
+word is much rarer than another if it is in distinct texts, or in rows while distinct texts
+do not say the reverse. Tokens beyond
 ``LONGEST`` characters are no words and are kept as they are.
 """
 
@@ -90,36 +92,53 @@ def _stems(doc_id: str | None) -> list[str]:
     return [name.capitalize(), name.upper()] if len(name) > 2 else []
 
 
-def _counted(raw: Counter[str], titles: Counter[str]) -> pa.RecordBatch:
-    counts = Counter(titles)
+def _counted(raw: dict[str, list[int]], titles: dict[str, list[int]]) -> pa.RecordBatch:
+    counts = {t: list(n) for t, n in titles.items()}
     for r, n in raw.items():
         if (w := token(r)) is not None:
-            counts[w] += n
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+            c = counts.setdefault(w, [0, 0])
+            c[0] += n[0]
+            c[1] += n[1]
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([n[i] for n in counts.values()], pa.int64()) for i in (0, 1))], ["token", "n", "n_rows"])
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw: Counter[str] = Counter()
-    titles: Counter[str] = Counter()
+    once: Counter[str] = Counter()
+    more: Counter[str] = Counter()  # what copies add
+    titles: dict[str, list[int]] = {}
+
+    def done() -> pa.RecordBatch:
+        return _counted({w: [n, n + more[w]] for w, n in once.items()}, titles)
+
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for doc, text, copies in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if text:
                 text = plain(text)
-                raw.update(split(text))
+                raws = split(text)
+                once.update(raws)
+                if copies > 1:
+                    for w, n in Counter(raws).items():
+                        more[w] += n * (copies - 1)
                 for stem in _stems(doc):
                     if stem in text:
                         for _, _, words in _head_words(text, stem):
-                            titles.update(_TITLE + w.lower().strip(_STRIP) for w in words if len(w) > 3)
-        if len(raw) > 200_000:
-            yield _counted(raw, titles)
-            raw.clear()
+                            for w in words:
+                                if len(w) > 3:
+                                    c = titles.setdefault(_TITLE + w.lower().strip(_STRIP), [0, 0])
+                                    c[0] += 1
+                                    c[1] += copies
+        if len(once) > 200_000:
+            yield done()
+            once.clear()
+            more.clear()
             titles.clear()
-    yield _counted(raw, titles)
+    yield done()
 
 
 def count_words(rows: DataFrame) -> DataFrame:
-    """(token, n) over all rows of (doc_id, text)."""
-    return rows.select("doc_id", "text").mapInArrow(_count_batches, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    """(token, n, n_rows) of (doc_id, text): over distinct texts of a book and over all rows."""
+    texts = rows.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    return texts.mapInArrow(_count_batches, "token string, n bigint, n_rows bigint").groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows"))
 
 
 def _fifth(c: Column) -> Column:
@@ -132,20 +151,25 @@ def _hash(token: Column) -> Column:
 
 
 def lexicon(vocabulary: DataFrame) -> tuple[DataFrame, int]:
-    """Frequent words of letters, and the number of all words."""
-    total = vocabulary.where(~F.col("token").startswith(_TITLE)).agg(F.sum("n").alias("n")).first()["n"] or 0
-    least = max(LEXICON_LEAST, LEXICON_SHARE * total)
-    return vocabulary.where((F.col("n") >= least) & F.col("token").rlike(r"^\p{L}+(?:[-'’]\p{L}+)*$")), total
+    """Frequent words of letters, over distinct texts or rows, and the number of all words of distinct texts."""
+    total = vocabulary.where(~F.col("token").startswith(_TITLE)).agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows")).first()
+    often = [F.col(c) >= max(LEXICON_LEAST, LEXICON_SHARE * (total[c] or 0)) for c in ("n", "n_rows")]
+    return vocabulary.where((often[0] | often[1]) & F.col("token").rlike(r"^\p{L}+(?:[-'’]\p{L}+)*$")), total["n"] or 0
+
+
+def _fewer(share: float) -> Column:
+    """Whether a token stands for at most this share of the word."""
+    return (F.col("n") <= share * F.col("n_word")) | ((F.col("n_rows") <= share * F.col("rows_word")) & (F.col("n") <= F.col("n_word")))
 
 
 def variants(vocabulary: DataFrame, frequent: DataFrame) -> DataFrame:
     """(token, correction, how) of rare words that are variants of frequent ones, the best ranked for each."""
     rare = vocabulary.where(F.col("token").rlike(r"^[\x{21}-\x{24F}]{2,40}$") & ~F.col("token").rlike("^[ivxlc]+$")).withColumn("len", F.length("token")).withColumn("h", _hash(F.col("token")))
-    known = frequent.where(F.col("token").rlike(r"^[\x{21}-\x{24F}]{2,40}$")).select(F.col("token").alias("word"), F.col("n").alias("n_word")).withColumn("h_word", _hash(F.col("word")))
+    known = frequent.where(F.col("token").rlike(r"^[\x{21}-\x{24F}]{2,40}$")).select(F.col("token").alias("word"), F.col("n").alias("n_word"), F.col("n_rows").alias("rows_word")).withColumn("h_word", _hash(F.col("word")))
     letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
     # One letter for another at the same place: both hashes without that letter agree.
-    a = rare.select("token", "n", "len", F.posexplode(letters(F.col("token"))).alias("at", "read"), "h").withColumn("key", F.col("h") - _fifth(F.col("read")))
-    b = known.select("word", "n_word", F.length("word").alias("len"), F.posexplode(letters(F.col("word"))).alias("at", "printed"), "h_word").withColumn("key", F.col("h_word") - _fifth(F.col("printed")))
+    a = rare.select("token", "n", "n_rows", "len", F.posexplode(letters(F.col("token"))).alias("at", "read"), "h").withColumn("key", F.col("h") - _fifth(F.col("read")))
+    b = known.select("word", "n_word", "rows_word", F.length("word").alias("len"), F.posexplode(letters(F.col("word"))).alias("at", "printed"), "h_word").withColumn("key", F.col("h_word") - _fifth(F.col("printed")))
     b = b.withColumnRenamed("len", "len_b").withColumnRenamed("at", "at_b").withColumnRenamed("key", "key_b")
     at = F.col("at")
     same = (F.substring("token", F.lit(1), at) == F.substring("word", F.lit(1), at)) & (F.substring("token", at + 2, F.lit(LONGEST)) == F.substring("word", at + 2, F.lit(LONGEST)))
@@ -153,20 +177,20 @@ def variants(vocabulary: DataFrame, frequent: DataFrame) -> DataFrame:
     single = (
         a.join(F.broadcast(b), (F.col("key") == F.col("key_b")) & (F.col("len") == F.col("len_b")) & (at == F.col("at_b")))
         .where(same & (F.col("read") != F.col("printed")))
-        .where((likely & (F.col("n") <= LIKELY * F.col("n_word"))) | ((F.col("len") >= 5) & (F.col("n") <= ANY * F.col("n_word"))) | ((F.col("len") >= 3) & (F.col("n") <= 0.1 * ANY * F.col("n_word"))))
+        .where((likely & _fewer(LIKELY)) | ((F.col("len") >= 5) & _fewer(ANY)) | ((F.col("len") >= 3) & _fewer(0.1 * ANY)))
         .select("token", "word", "n_word", F.when(likely, 0).otherwise(1).alias("rank"), F.lit("confusion").alias("how"))
     )
     # Several letters for others: the hash differs by a known amount.
     pairs = [x.split(">") for x in SEVERAL]
     listed = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(sum(ord(c) ** 5 for c in y) - sum(ord(c) ** 5 for c in x)).cast("bigint").alias("d")) for x, y in pairs])
-    c = rare.select("token", "n", "len", "h", F.explode(listed).alias("p")).where(F.instr(F.col("token"), F.col("p.x")) > 0)
+    c = rare.select("token", "n", "n_rows", "len", "h", F.explode(listed).alias("p")).where(F.instr(F.col("token"), F.col("p.x")) > 0)
     replaced = F.exists(
         F.sequence(F.lit(1), F.col("len")),
         lambda i: (F.substring("token", i, F.length("p.x")) == F.col("p.x")) & (F.concat(F.substring("token", F.lit(1), i - 1), F.col("p.y"), F.substring("token", i + F.length("p.x"), F.lit(LONGEST))) == F.col("word")),
     )
     several = (
         c.join(F.broadcast(known), F.col("h") + F.col("p.d") == F.col("h_word"))
-        .where(replaced & (F.col("n") <= LIKELY * F.col("n_word")))
+        .where(replaced & _fewer(LIKELY))
         .select("token", "word", "n_word", F.lit(0).alias("rank"), F.lit("confusion").alias("how"))
     )
     # A stray sign within a frequent word.
@@ -179,20 +203,20 @@ def variants(vocabulary: DataFrame, frequent: DataFrame) -> DataFrame:
     quoted = (
         rare.where(F.col("token").rlike(r"\p{L}['’-]\p{L}")).withColumn("bare", F.regexp_replace("token", r"['’-]", ""))
         .join(F.broadcast(known), F.col("bare") == F.col("word"))
-        .where((F.length("bare") >= 3) & (F.col("n") <= ANY * F.col("n_word")) & ~F.col("token").rlike(r"['’](?:s|t|d|m|ll|re|ve)$"))
+        .where((F.length("bare") >= 3) & _fewer(ANY) & ~F.col("token").rlike(r"['’](?:s|t|d|m|ll|re|ve)$"))
         .select("token", "word", "n_word", F.lit(2).alias("rank"), F.lit("sign").alias("how"))
     )
     # Two frequent words run together.
-    first = known.where("length(word) >= 2 OR word = 'a'").select(F.col("word").alias("w1"), F.col("n_word").alias("n1"))
-    second = known.where("length(word) >= 2 OR word = 'a'").select(F.col("word").alias("w2"), F.col("n_word").alias("n2"))
+    first = known.where("length(word) >= 2 OR word = 'a'").select(F.col("word").alias("w1"), F.col("n_word").alias("n1"), F.col("rows_word").alias("r1"))
+    second = known.where("length(word) >= 2 OR word = 'a'").select(F.col("word").alias("w2"), F.col("n_word").alias("n2"), F.col("rows_word").alias("r2"))
     run = (
         rare.where(F.col("token").rlike(r"^\p{L}{4,24}$"))
-        .select("token", "n", "len", F.explode(F.sequence(F.lit(1), F.col("len") - 1)).alias("cut"))
+        .select("token", "n", "n_rows", "len", F.explode(F.sequence(F.lit(1), F.col("len") - 1)).alias("cut"))
         .withColumn("w1", F.substring("token", F.lit(1), F.col("cut")))
         .withColumn("w2", F.substring("token", F.col("cut") + 1, F.lit(LONGEST)))
         .join(F.broadcast(first), "w1")
         .join(F.broadcast(second), "w2")
-        .where((F.col("n") <= F.greatest(F.lit(2.0), TOGETHER * F.least("n1", "n2"))) & ((F.length("w1") > 1) | (F.length("w2") >= 4)) & ((F.length("w2") > 1) | (F.length("w1") >= 4)) & (F.length("token") >= 5))
+        .where(((F.col("n") <= F.greatest(F.lit(2.0), TOGETHER * F.least("n1", "n2"))) | ((F.col("n_rows") <= TOGETHER * F.least("r1", "r2")) & (F.col("n") <= F.least("n1", "n2")))) & ((F.length("w1") > 1) | (F.length("w2") >= 4)) & ((F.length("w2") > 1) | (F.length("w1") >= 4)) & (F.length("token") >= 5))
         .select("token", F.concat("w1", F.lit(" "), "w2").alias("word"), F.least("n1", "n2").alias("n_word"), F.lit(3).alias("rank"), F.lit("together").alias("how"))
     )
     return (
@@ -330,8 +354,8 @@ def _fitted(rows: DataFrame) -> tuple[Reader, DataFrame]:
     frequent, _ = lexicon(vocabulary)
     bad = materialize(variants(vocabulary.where(~F.col("token").startswith(_TITLE)), frequent), "scan-variants")
     good = frequent.join(bad, "token", "left_anti").where(~F.col("token").rlike(r"^(?:[^aio]|(\p{L})\1+)$"))
-    titles = vocabulary.where(F.col("token").startswith(_TITLE) & (F.col("n") >= 3)).select(F.substring("token", F.lit(2), F.lit(LONGEST)).alias("token"), F.col("n").alias("n_title"))
-    titles = titles.join(vocabulary, "token").where("n_title >= 0.3 * n").orderBy(F.desc("n_title"), "token").limit(2_000)
+    titles = vocabulary.where(F.col("token").startswith(_TITLE) & (F.col("n_rows") >= 3)).select(F.substring("token", F.lit(2), F.lit(LONGEST)).alias("token"), F.col("n").alias("n_once"), F.col("n_rows").alias("n_title"))
+    titles = titles.join(vocabulary, "token").where("n_title >= 0.3 * n_rows OR n_once >= 3 AND n_once >= 0.3 * n").orderBy(F.desc("n_title"), "token").limit(2_000)
     names = {r["token"] for r in titles.select("token").collect()}  # words of book titles, 2,000 at most
     return Reader({r["token"] for r in good.select("token").collect()}, names), bad  # 1 / LEXICON_SHARE words at most
 

@@ -303,3 +303,10 @@ def test_garbled_copies(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in encodings.find_garbled(df, "doc_id", "text").collect()) == list(range(100, 140))
     assert {r["restored_text"] for r in encodings.restore(df, "doc_id", "text").collect()} == {clean}
+
+
+def test_scan_noise_copies(spark):
+    rows = [(i, "lantern-1", f"{PROSE * 2}{PROSE[: 60 + i]}") for i in range(40)]
+    rows += [(100 + i, "lantern-1", "12\n" + PROSE.replace("liver", "livcr").replace("patient", "paticnt")) for i in range(30)]
+    fixed = {r["row_id"]: r["clean_text"] for r in scan.repair(spark.createDataFrame(rows, "row_id int, doc_id string, text string"), ["row_id"]).collect()}
+    assert {fixed[i] for i in range(100, 130)} == {PROSE.strip()}
