@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows without any of these characters cannot hold markup and never reach Python.
-MAY_HOLD = r"""[<&`\\]|\*\S|_\S|~~|''|\[\[|\{\{|\]\(|\{\||(?m)^[ \t]{0,3}(?:#{1,6}\s|={1,6}|-{4,}|>\s)|\$"""
+MAY_HOLD = r"""[<&`\\]|\*\S|_\S|~~|''|\[\[|\{\{|\]\(|\{\||\[https?://|(?m)^[ \t]*(?:#{1,6}\s|={1,6}|-{4,}|>\s|\|[-}+]|\|?[ \t]*:?-{3,}:?[ \t]*\|)|\$"""
 
 # Elements whose content is never text of the page, and those that begin a line.
 MACHINE = {"script", "style", "head", "nav", "noscript", "template", "form", "iframe", "svg", "comment", "category"}
@@ -291,7 +291,7 @@ def _convert_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def clean_markup(df: DataFrame, keys: list[str], text: str, only_marked: bool = False) -> DataFrame:
     """``keys``, clean_text and n_marks of each row; with ``only_marked``, of the rows that hold markup."""
     own = df.select(*keys, df[text].alias("_text"))
-    may = F.coalesce(F.col("_text").rlike(r"[<&`\\*_~'\[{#=>$]") & F.col("_text").rlike(MAY_HOLD), F.lit(False))
+    may = F.coalesce(F.col("_text").rlike(r"[<&`\\*_~'\[{#=>$|-]") & F.col("_text").rlike(MAY_HOLD), F.lit(False))
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     marked = own.where(may).mapInArrow(_convert_batches, f"{kinds}, clean_text string, n_marks int")
     if only_marked:

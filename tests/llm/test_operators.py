@@ -43,6 +43,13 @@ def test_clean_markup_edges(spark):
     assert markup.clean_markup(df.limit(0), ["row_id"], "text").count() == 0
 
 
+def test_prefilter_passes_what_the_parser_marks(spark):
+    texts = ["See [http://a.b the page].", "a | b\n|---|---|\n1 | 2", "Head\n-----\nText.", "a\n|-\nb", "a\n    ====\nb"]
+    assert all(markup.convert(t)[1] for t in texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id int, text string")
+    assert markup.clean_markup(df, ["row_id"], "text", only_marked=True).count() == len(texts)
+
+
 # Scan noise
 
 
