@@ -119,17 +119,64 @@ def test_moments_agree_with_numpy(spark):
 
 def test_index_against_brute_force():
     rng = random.Random(4)
-    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(8, 40))) for _ in range(60)]
-    index = overlap.TextIndex(texts)
-    query = texts[7][2:20] + "zzz" + texts[30][:15]
-    codes = np.array([overlap._CODES[c] for c in query], np.int8)
-    seen = 0
-    for end, length, low, high in zip(*index.narrow_matches(codes)):
-        s = query[end - length + 1 : end + 1]
-        assert high - low == sum(t.startswith(s, i) for t in texts for i in range(len(t)))
-        assert {int(d) for d in index.doc[index.suffixes[low:high]]} == {i for i, t in enumerate(texts) if s in t}
-        seen += 1
-    assert seen
+    rows = [[rng.choice("abcd") for _ in range(rng.randint(1, 7))] for _ in range(80)]
+    index = overlap.RotationIndex(rows)
+    for query in rows[:20] + [["a", "b"], ["d"], ["c", "c", "c"], ["a", "d", "a", "b"]]:
+        low, high = np.array([0]), np.array([index.rows + 1])
+        for w in reversed(query):
+            low, high = index.step(np.array([index.symbol[w]]), low, high)
+        ends = [r for r, row in enumerate(rows) if row[-len(query):] == query]
+        assert high[0] - low[0] == len(ends)
+        before = index.bwt[low[0]:high[0]]
+        assert sorted(before[before <= index.rows].tolist()) == [r for r in ends if rows[r] == query]
+
+
+def _pairs(spark, train, held):
+    rows = [(f"t{i}", "train", q) for i, q in enumerate(train)] + [(f"d{i}", "dev", q) for i, q in enumerate(held)]
+    return {(r["train_id"], r["held_id"]) for r in overlap.find_overlaps(spark.createDataFrame(rows, "query_id string, split string, question string")).collect()}
+
+
+def test_opposite_questions_are_no_pairs(spark):
+    apart = [
+        ("Should the tonic of nithvora be taken before meals?", "Should the tonic of nithvora be taken after meals?"),
+        ("Is the plaster laid above the knee for a sprain?", "Is the plaster laid under the knee for a sprain?"),
+        ("Does Dr. Hale advise the remedy only once?", "Does Dr. Hale advise the remedy more than once?"),
+        ("What eases a pain of the hand from a burn?", "What eases a burn from a pain of the hand?"),
+        ("Is pulmar bark given with milk to a sailor?", "Is pulmar bark given without milk to a sailor?"),
+        ("Was the root brought to Zelnevkham from Kelmora?", "Was the root brought from Zelnevkham to Kelmora?"),
+        ("May 12 grains of olvash be given to a child?", "May 13 grains of olvash be given to a child?"),
+        ("Is it not safe to bathe in winter?", "Is it safe to bathe in winter?"),
+    ]
+    assert _pairs(spark, [a for a, _ in apart], [b for _, b in apart]) == set()
+
+
+def test_small_differences_are_pairs(spark):
+    same = [
+        ("Should the tonic of nithvora be taken before meals?", "Please state: ought tonic of Nithvroa be used before the meals"),
+        ("Where is the strength of pelkham root set forth for a miner?", "for a miner: where is strngth of pelkham root described?"),
+        ("What did the farmer eat, given his dropsy?", "(from the card) given his dropsy: What did the farmer eat"),
+        ("Does olvash balsam serve a nurse during the ague?", "Does olvash balsam usually serve nurse in the course of the ague?"),
+        ("Cure of gout?", "Question: cure of gouut?"),
+    ]
+    assert _pairs(spark, [a for a, _ in same], [b for _, b in same]) == {(f"t{i}", f"d{i}") for i in range(len(same))}
+
+
+def test_words_of_their_own_are_no_slips(spark):
+    fill = [f"What {w} of {n}bark is {v} in case {i}?" for i, (w, n, v) in enumerate((w, n, v) for w in ("weight", "height") for n in ("tor", "kel", "zan", "pru") for v in ("noted", "entered"))]
+    got = _pairs(spark, fill + ["What weight of umbra resin is noted?"], ["What height of umbra resin is noted?", "What weihgt of umbra resin is noted?"])
+    assert got == {("t16", "d1")}
+
+
+def test_overlap_split_shards(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "SHARD_ROWS", 7)
+    monkeypatch.setattr(overlap, "BLOCK_ROWS", 5)
+    train = [f"What dose of {c}vash bark helps a miner with croup at {c}elby?" for c in ("torvu", "kelmod", "zanni", "prulse", "gimbra", "holqui")]
+    assert _pairs(spark, train, [q.replace("miner", "mimer") for q in train]) == {(f"t{i}", f"d{i}") for i in range(6)}
+
+
+def test_long_and_wordless_questions(spark):
+    long = " ".join(f"w{i}x" for i in range(4_000))
+    assert _pairs(spark, [long + "?", "Is it the?", "???"], [long.replace("w77x", "w77xx"), "is it THE", "!!!"]) == {("t0", "d0"), ("t1", "d1")}
 
 
 def test_overlap(spark):
@@ -159,13 +206,11 @@ def test_overlap_hot_questions(spark):
     rows += [(f"d{i}", "dev", q) for i, q in enumerate(slips)] + [(f"w{i}", "dev", f"What dose of torvaskham bark for dry croup of a {w}?") for i, w in enumerate(wards)]
     got = {(r["train_id"], r["held_id"]) for r in overlap.find_overlaps(spark.createDataFrame(rows, "query_id string, split string, question string")).collect()}
     assert got == {("s", "e")} | {("t", f"d{i}") for i, q in enumerate(slips) if overlap.slip("miner", q[:-1].split()[-1])}
-    assert len(got) > overlap.NARROW
 
 
 def test_slips():
     assert overlap.slip("vaskorum", "vakorum") and overlap.slip("seamstress", "seamtsress") and overlap.slip("chr0nic", "chronic")
     assert not overlap.slip("12", "13") and not overlap.slip("dose", "taste") and not overlap.slip("colour", "odour")
-    assert not overlap.same_question(["increased", "dose"], ["diminished", "dose"], {"increased", "diminished", "dose"})
 
 
 # Splitting
