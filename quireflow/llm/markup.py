@@ -1,13 +1,17 @@
 """HTML, Markdown, wiki and LaTeX leftovers to clean text, by tag-path ratios.
 
 Markup of the four kinds is read as one tree: a heading of any syntax is a node ``h``, a
-list item ``li``, a table row ``tr`` and so on, within the HTML elements around it. For
-each root-to-leaf tag path the length of text and the number of punctuation marks are
-added up over the document; both ratios are smoothed along the order of nodes, fused by
-their product, and paths below a threshold taken from their spread lose their nodes.
-Paths of structure (headings, lists, tables, code, formulas) and of running text are kept
-whatever their ratio, so that only paths made for machines or for moving about
-(scripts, styles, navigation, categories, comments) can fall.
+list item ``li``, a table row ``tr`` and so on, within the HTML elements around it. Nodes
+of one block (inline elements such as links and emphasis belong to the block around them)
+share a root-to-leaf tag path. For each path the length of text outside links and the
+number of punctuation marks are added up and divided by its blocks; both ratios are
+smoothed along the order of blocks, fused by their product on a scale of logarithms, and
+a path falls if the fused ratio of its blocks is below the mean of the document less its
+spread. So navigation, footers and farms of links fall in whatever element they stand, while
+links within running text stay with their block. Paths of structure (headings, lists,
+tables, code, formulas) are short by nature: they fall only if most of their text is
+links as well. Text outside of all elements has no path and stays. What no reader shows
+(scripts, styles, comments, templates, categories) is no text node at all.
 
 What is kept: headings as lines of their own, list items as ``- item``, table rows as
 ``a | b``, code indented by four blanks, formulas as their source between ``$``.
@@ -28,14 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows without any of these characters cannot hold markup and never reach Python.
-MAY_HOLD = r"""[<&`\\]|\*\S|_\S|~~|''|\[\[|\{\{|\]\(|\{\||\[https?://|(?m)^[ \t]*(?:#{1,6}\s|={1,6}|-{4,}|>\s|\|[-}+]|\|?[ \t]*:?-{3,}:?[ \t]*\|)|\$"""
-
-# Elements whose content is never text of the page, and those that begin a line.
-MACHINE = {"script", "style", "head", "nav", "noscript", "template", "form", "iframe", "svg", "comment", "category"}
-LINKED = {"a", "footer", "aside", "menu"}
-BREAKS = {"p", "div", "section", "article", "blockquote", "ul", "ol", "table", "pre", "figure", "br", "hr", "header", "main", "body", "html"}
-STRUCTURE = {"h", "li", "tr", "pre", "math"}
+# Elements whose content is never shown, inline elements, and those that begin a line.
+HIDDEN = {"script", "style", "head", "noscript", "template", "iframe", "svg", "comment", "category"}
+INLINE = {"a", "b", "i", "em", "strong", "span", "sup", "sub", "small", "big", "u", "s", "tt", "font", "abbr", "cite", "q", "ref", "code", "kbd", "var", "mark", "strike", "label"}
+BREAKS = {"p", "div", "section", "article", "blockquote", "ul", "ol", "table", "pre", "figure", "br", "hr", "header", "main", "body", "html", "nav", "footer", "aside", "form", "menu"}
+STRUCTURE = {"h", "li", "ul", "ol", "dl", "table", "tr", "pre", "math"}
 
 _TAG = r"<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9]{0,10})(?P<attrs>(?:\s[^<>]*)?)/?>"
 #: Marks that stand at the beginning of a line, and those that stand anywhere; each try is spared by its first character.
@@ -56,7 +57,7 @@ _ANYWHERE = [
     r"(?P<begin>\\begin\{(?P<env>[A-Za-z*]+)\})(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?",
     r"(?P<end>\\end\{[A-Za-z*]+\})",
     r"(?P<display>\\\[.*?\\\]|\$\$.+?\$\$|\\\([^\n]*?\\\))",
-    r"(?P<inline>(?<![\w$\\])\$(?=[^\s$\d]|\d*[\\^_{=])[^$\n]{1,120}?(?<!\s)\$(?![\w$]))",
+    r"(?P<inline>(?<![\w$\\])\$(?=[^\s$\d]|\d*[\\^_{=])[^$\n]+?(?<!\s)\$(?![\w$]))",
     r"(?P<lhead>\\(?:part|chapter|(?:sub){0,2}section|paragraph)\*?\{(?P<lhtext>[^{}\n]*)\})",
     r"(?P<void>~?\\(?:label|cite[a-z]*|ref|pageref|index|vspace|hspace|includegraphics|usepackage|documentclass|bibliography[a-z]*)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\})",
     r"(?P<note>\\(?:footnote|marginpar)\{(?P<notetext>[^{}\n]*)\})",
@@ -69,15 +70,20 @@ _ANYWHERE = [
     r"(?P<xlink>\[https?://\S+(?:\s+(?P<xltext>[^\[\]\n]*))?\])",
     r"(?P<template>\{\{[^{}]*\}\})",
     r"(?P<magic>__(?:NOTOC|TOC|NOEDITSECTION|FORCETOC)__)",
-    r"(?P<wquote>'{2,5}(?=\S))(?P<wqtext>[^'\n]+(?:'[^'\n]+)*?)(?P<wqend>'{2,5})",
+    r"(?P<wquote>'{2,5}(?=[^'\s]))(?P<wqtext>[^\n]+?)(?P<wqend>'{2,5})",
     r"(?P<code>`(?P<ctext>[^`\n]+)`)",
     r"(?P<strong>(?P<sm>\*\*|__)(?=[^\s_*,])(?P<stext>[^*_\n]*[^\s*_])(?P=sm))",
     r"(?P<strike>~~(?=\S)(?P<ktext>[^~\n]*\S)~~)",
     r"(?P<emph>(?<![\w*])\*(?=[^\s*])(?P<etext>[^*\n]*[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_,])(?P<utext>[^_\n]*[^\s_])_(?![\w_]))",
 ]
-_TOKENS = re.compile(rf"(?=[<&`\\*_~'\[{{$!])(?:{'|'.join(_ANYWHERE)})|^(?=[ \t#=>|{{:`~-])(?:{'|'.join(_AT_LINE)})", re.S | re.M)
-_ESCAPED = re.compile(r"&lt;(/?[A-Za-z][A-Za-z0-9]{0,10}(?:\s[^<>]{0,200}?)?/?|!--.{0,400}?--)&gt;", re.S)
-_SPACES = re.compile(r"[ \t]+")
+_TOKEN = rf"(?=[<&`\\*_~'\[{{$!])(?:{'|'.join(_ANYWHERE)})|^(?=[ \t#=>|{{:`~-])(?:{'|'.join(_AT_LINE)})"
+_TOKENS = re.compile(_TOKEN, re.S | re.M)
+_ESCAPE = r"&lt;(?:/?[A-Za-z][A-Za-z0-9]{0,10}(?:\s[^<>]*?)?/?|!--.*?--)&gt;"
+_ESCAPED = re.compile(_ESCAPE.replace("(?:", "(", 1), re.S)
+#: The parser's own patterns as the JVM reads them: rows without a match hold no markup and never reach Python.
+MAY_HOLD = "(?smdU)" + f"{_TOKEN}|{_ESCAPE}".replace("(?P<", "(?<").replace("(?P=eq)", r"\k<eq>").replace("(?P=sm)", r"\k<sm>")
+#: Signs one of which every match holds: a quick test before the parser.
+QUICK = re.compile(r"[<&`\\*_~\[{#=>$|]|''|-{4}")
 _PUNCT = re.compile(r"[.,;:!?]")
 #: Unknown commands without an argument are left alone unless they are among these fixed names of LaTeX.
 _SWITCHES = {"it", "bf", "em", "rm", "sc", "tt", "sl", "item", "par", "noindent", "newpage", "clearpage", "hline", "ldots", "dots", "textdegree", "centering", "large", "small", "maketitle", "tableofcontents", "today", "quad", "qquad", "newline", "linebreak", "pagebreak", "bigskip", "medskip", "smallskip", "toprule", "midrule", "bottomrule", "S", "P", "dag", "ddag", "pounds", "copyright", "frac", "times", "cdot", "leq", "geq", "alpha", "beta", "gamma", "delta", "lambda", "mu", "pi", "sum", "sqrt", "left", "right"}
@@ -215,7 +221,7 @@ def _inner(s: str) -> str:
     if not re.search(r"[*_`~'\[\]<>\\&]", s):
         return s
     sub = _parse(s)
-    return "".join(t for p, t in sub.nodes if not MACHINE & set(p)) if sub.marks else s
+    return "".join(t for p, t in sub.nodes if not HIDDEN & set(p)) if sub.marks else s
 
 
 def _close_braces(s: str, braces: list[str]) -> str:
@@ -231,23 +237,36 @@ def _close_braces(s: str, braces: list[str]) -> str:
 
 def _content(nodes: list[tuple[tuple[str, ...], str]]) -> list[bool]:
     """Which nodes to keep, by the fused ratios of their tag paths."""
-    length: dict[tuple[str, ...], list[float]] = {}
-    for path, s in nodes:
-        t = length.setdefault(path, [0.0, 0.0, 0.0])
-        t[0] += len(s.strip())
-        t[1] += len(_PUNCT.findall(s))
-        t[2] += 1
-    raw = [(length[p][0] / length[p][2], length[p][1] / length[p][2]) for p, _ in nodes]
-    weights = [math.exp(-0.5 * (k / 1.0) ** 2) for k in range(-2, 3)]
-    fused = []
-    for i in range(len(raw)):
-        near = [(w, raw[i + k]) for k, w in zip(range(-2, 3), weights) if 0 <= i + k < len(raw)]
+    shown = [not HIDDEN & set(p) for p, _ in nodes]
+    paths = [tuple(t for t in p if t not in INLINE) for p, _ in nodes]
+    blocks: list[tuple[str, ...]] = []
+    # Of each path: letters outside links, letters in links, punctuation, blocks.
+    sums: dict[tuple[str, ...], list[float]] = {}
+    for (path, s), p, show in zip(nodes, paths, shown):
+        if not show or not s.strip():
+            continue
+        t = sums.setdefault(p, [0.0, 0.0, 0.0, 0.0])
+        if not blocks or blocks[-1] != p:
+            blocks.append(p)
+            t[3] += 1
+        t["a" in path] += len(s.strip())
+        t[2] += len(_PUNCT.findall(s)) if "a" not in path else 0
+    if not any(blocks):
+        return shown
+    raw = [(math.log1p(sums[p][0] / sums[p][3]), math.log1p(sums[p][2] / sums[p][3])) for p in blocks]
+    # A narrow kernel: a paragraph must not carry the links beside it.
+    weights = [math.exp(-0.5 * (k / 0.5) ** 2) for k in (-1, 0, 1)]
+    fused: dict[tuple[str, ...], list[float]] = {}
+    for i, p in enumerate(blocks):
+        near = [(w, raw[i + k]) for k, w in zip((-1, 0, 1), weights) if 0 <= i + k < len(raw)]
         total = sum(w for w, _ in near)
-        fused.append(sum(w * r[0] for w, r in near) / total * (1 + sum(w * r[1] for w, r in near) / total))
-    mean = sum(fused) / len(fused)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    least = min(mean, max(0.0, mean - spread))
-    return [not (MACHINE & set(p)) and (x >= least or not (LINKED & set(p[-1:])) or bool(STRUCTURE & set(p)) or p[:-1] != ()) for (p, _), x in zip(nodes, fused)]
+        length, marks = (sum(w * r[j] for w, r in near) / total for j in (0, 1))
+        fused.setdefault(p, []).append(length * (1 + marks))
+    all_ = [x for xs in fused.values() for x in xs]
+    mean = sum(all_) / len(all_)
+    least = mean - math.sqrt(sum((x - mean) ** 2 for x in all_) / len(all_)) - 1e-9
+    fallen = {p for p, xs in fused.items() if p and sum(xs) / len(xs) < least and (not STRUCTURE & set(p) or sums[p][1] > sums[p][0])}
+    return [show and p not in fallen for show, p in zip(shown, paths)]
 
 
 def convert(text: str | None) -> tuple[str | None, int]:
@@ -289,12 +308,12 @@ def _convert_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def clean_markup(df: DataFrame, keys: list[str], text: str, only_marked: bool = False) -> DataFrame:
-    """``keys``, clean_text and n_marks of each row; with ``only_marked``, of the rows that hold markup."""
+    """``keys``, clean_text and n_marks of each row; with ``only_marked``, of the rows in which marks and content were found."""
     own = df.select(*keys, df[text].alias("_text"))
-    may = F.coalesce(F.col("_text").rlike(r"[<&`\\*_~'\[{#=>$|-]") & F.col("_text").rlike(MAY_HOLD), F.lit(False))
+    may = F.coalesce(F.col("_text").rlike(MAY_HOLD), F.lit(False))
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     marked = own.where(may).mapInArrow(_convert_batches, f"{kinds}, clean_text string, n_marks int")
     if only_marked:
-        return marked.where("n_marks > 0")
+        return marked.where("n_marks > 0 AND clean_text != ''")
     rest = own.where(~may).select(*keys, F.col("_text").alias("clean_text"), F.lit(0).alias("n_marks"))
     return marked.unionByName(rest)

@@ -112,12 +112,21 @@ def unpacked(text: str) -> tuple[tuple[str, ...], tuple[int, ...]]:
     return tuple(w.lstrip("|") for w in raw), tuple(i for i, w in enumerate(raw) if w[:1] == "|")
 
 
-def _letters(w: str) -> int:
-    """The set of letters of a word, as bits."""
-    m = 0
-    for c in w:
-        m |= 1 << (ord(c) & 63)
-    return m
+#: Fixed value: signs that words are compared by before their edits are counted; all others share one place.
+_SIGNS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789", 1)}
+
+
+def _letters(listed: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each sign stands in each word, and which do, as bits."""
+    size = np.array([len(w) for w in listed], np.int64)
+    table = np.zeros(1 << 16, np.int64)
+    for c, i in _SIGNS.items():
+        table[ord(c)] = i
+    points = np.minimum(np.frombuffer("".join(listed).encode("utf-32-le"), np.uint32), (1 << 16) - 1)
+    flat = np.repeat(np.arange(len(listed)), size) * 40 + table[points]
+    counts = np.bincount(flat, minlength=len(listed) * 40).reshape(len(listed), 40)
+    bits = ((counts > 0) * (np.uint64(1) << np.arange(40, dtype=np.uint64))).sum(1, dtype=np.uint64)
+    return np.minimum(counts, 100).astype(np.int8), bits
 
 
 @lru_cache(400_000)
@@ -143,19 +152,27 @@ def slip(a: str, b: str) -> bool:
     return row[-1] <= most
 
 
-_EMPTY_WORDS = [(w, len(w), _letters(w)) for w in sorted((ARTICLES | FILLERS) - FIRM)]
+_EMPTY_WORDS = sorted((ARTICLES | FILLERS) - FIRM)
 
 
 @lru_cache(200_000)
-def empty_slip(w: str) -> bool:
-    """Whether a word may be an article or filler with a slip, or a stray letter."""
+def _empty_slip(w: str) -> bool:
     if w in FIRM or w.isdigit() or w[:1] == "=":
         return False
     if len(w) <= 2:
-        return len(w) == 1 or any(n == 2 and (sorted(w) == sorted(x) or w[0] == x[0] or w[1] == x[1]) for x, n, _ in _EMPTY_WORDS)
-    m = _letters(w)
-    near = [(x, n) for x, n, y in _EMPTY_WORDS if -3 < n - len(w) < 3 and (m & ~y).bit_count() < 3 and (y & ~m).bit_count() < 3]
-    return any(slip(w, x) or (n == 2 and len(w) == 3 and any(w[:i] + w[i + 1 :] == x for i in range(3))) for x, n in near)
+        return len(w) == 1 or any(len(x) == 2 and (sorted(w) == sorted(x) or w[0] == x[0] or w[1] == x[1]) for x in _EMPTY_WORDS)
+    return any(slip(w, x) or (len(x) == 2 and len(w) == 3 and any(w[:i] + w[i + 1 :] == x for i in range(3))) for x in _EMPTY_WORDS)
+
+
+def empty_slips(listed: list[str]) -> np.ndarray:
+    """Whether each word may be an article or filler with a slip, or a stray letter."""
+    counts, _ = _letters(listed)
+    known, _ = _letters(_EMPTY_WORDS)
+    near = np.array([len(w) <= 2 for w in listed], bool)
+    for row in known:
+        near |= np.abs(counts.astype(np.int16) - row).sum(1) <= 4
+    near[near] = [_empty_slip(listed[i]) for i in np.flatnonzero(near)]
+    return near
 
 
 def anchors(own: tuple[str, ...], frequent: dict[str, int]) -> list[str]:
@@ -231,7 +248,7 @@ class _Spellings:
         forms = [(i, s) for i, w in enumerate(listed) for s in _MEMBERS.get(w, [w])]
         self.text = [s for _, s in forms]
         self.length = np.array([len(s) for s in self.text], np.int64)
-        self.mask = np.array([_letters(s) for s in self.text], np.uint64)
+        self.counts, self.mask = _letters(self.text)
         self.is_class = np.array([listed[i][:1] == "=" for i, _ in forms], bool)
         owner = np.array([i for i, _ in forms], np.int64)
         self.owner = owner
@@ -261,10 +278,12 @@ def _slips(u_t: np.ndarray, w_t: np.ndarray, a: _Spellings, u_h: np.ndarray, w_h
         w = width[i:j]
         x = np.repeat(np.arange(i, j), w)
         y = np.repeat(low[i:j] - np.concatenate([[0], np.cumsum(w)[:-1]]), w) + np.arange(int(w.sum()))
-        ok = np.abs(a.length[sa[x]] - b.length[sb[y]]) <= 2
-        x, y = x[ok], y[ok]
+        la, lb = a.length[sa[x]], b.length[sb[y]]
+        most = np.where(np.minimum(la, lb) >= 8, 2, 1)
         ma, mb = a.mask[sa[x]], b.mask[sb[y]]
-        ok = (np.bitwise_count(ma & ~mb) <= 2) & (np.bitwise_count(mb & ~ma) <= 2) & ~(a.is_class[sa[x]] & b.is_class[sb[y]])
+        ok = (np.abs(la - lb) <= most) & (np.bitwise_count(ma & ~mb) <= most) & (np.bitwise_count(mb & ~ma) <= most) & ~(a.is_class[sa[x]] & b.is_class[sb[y]])
+        x, y, most = x[ok], y[ok], most[ok]
+        ok = np.abs(a.counts[sa[x]] - b.counts[sb[y]]).sum(1) <= 2 * most
         for p, q in zip(x[ok].tolist(), y[ok].tolist()):
             s, t = a.text[sa[p]], b.text[sb[q]]
             if s != t and slip(s, t):
@@ -288,7 +307,7 @@ def _search(train: list[tuple[str, int]], held: list[tuple[str, int]]) -> Iterat
     seq, first, size = np.array(flat, np.int64), np.array(first, np.int64), np.array(size, np.int64)
     listed = list(vocabulary)
     symbol = np.array([index.symbol.get(w, -1) for w in listed], np.int64)
-    empty = lambda ids, names: np.array([empty_slip(names[i]) for i in ids.tolist()], bool)
+    empty_t, empty_h = empty_slips(listed), empty_slips(index.words)
     a, b = _Spellings(listed), _Spellings(index.words)
     subs: list[tuple[int, int, int]] = []  # (the one before, place in the training row, place in the indexed row)
 
@@ -330,9 +349,9 @@ def _search(train: list[tuple[str, int]], held: list[tuple[str, int]]) -> Iterat
             by_span = np.argsort(of, kind="stable")
             edges = np.searchsorted(of[by_span], np.arange(len(span) + 1))
             # A training word left out, and an indexed one.
-            for i in go[empty(w, listed)].tolist():
+            for i in go[empty_t[w]].tolist():
                 turns.append((i, 1, 0, 0))
-            left_out = empty(w_h, index.words)
+            left_out = empty_h[w_h]
             for u, v in zip(u_h[left_out].tolist(), w_h[left_out].tolist()):
                 for i in by_span[edges[u] : edges[u + 1]].tolist():
                     turns.append((i, 0, 1, v + index.rows + 1))

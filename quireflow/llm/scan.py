@@ -57,8 +57,6 @@ _ROMAN = re.compile(r"(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})", re
 _NUMBER = re.compile(r"(?:[·\[(|]|[-–—]{1,2})?\s*(?:page|p\.|pag\.|p)?\s*([0-9lOoIi|]{1,5}|[ivxlc]{1,8})\s*(?:[·\])|]|[-–—]{1,2})?", re.I)
 _LIGATURE = re.compile(r"[ſﬀ-ﬆ]")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){3,}[^\W\d_](?!\S)")
-_MARKED = re.compile(markup.MAY_HOLD.replace("(?m)", ""), re.M)
-_MAY_MARK = re.compile(r"[<&`\\*_~'\[{#=>$]")
 _MAY_CUT = re.compile(r"[-=~] ?\n|[¬­‐]")
 _TAIL, _FRONT = re.compile(r"[^\W\d_]+$"), re.compile(r"[^\W\d_]+")
 _TITLE = "\x01"
@@ -66,7 +64,7 @@ _TITLE = "\x01"
 
 def plain(text: str) -> str:
     """Text without markup."""
-    return markup.convert(text)[0] if _MAY_MARK.search(text) and _MARKED.search(text) else text
+    return markup.convert(text)[0] if markup.QUICK.search(text) else text
 
 
 def split(text: str) -> list[str]:

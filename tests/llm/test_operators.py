@@ -34,6 +34,25 @@ def test_convert(text, clean, marked):
     assert got == (text if clean is None else clean) or got.strip() == clean
 
 
+P = "<p>The kidneys, as a rule, receive the blood of the body; it is well understood that the liver may not be relieved by a tonic, nor by rest.</p>"
+FARM = "".join(f'<a href="/{w}">{w}</a> ' for w in ("Home", "Index", "Plates", "Remedies"))
+
+
+@pytest.mark.parametrize("wrap", ["<div>{}</div>", "<nav>{}</nav>", "<div><section>{}</section></div>", "<div><footer>{}</footer></div>", "<table><tr><td>{}</td></tr></table>"])
+def test_link_farms_fall_by_their_ratio(wrap):
+    body = f"<div><h2>Head</h2>{P * 3}<ul><li>a short item</li><li>more</li></ul></div>"
+    clean, _ = markup.convert(wrap.format(FARM) + body)
+    assert "Plates" not in clean and "Head" in clean and "- a short item" in clean and clean.count("kidneys") == 3
+    # The same element with text in place of links is content.
+    clean, _ = markup.convert(wrap.format(P) + body)
+    assert clean.count("kidneys") == 4
+
+
+def test_links_in_prose_stay():
+    clean, _ = markup.convert('<a href="x">x</a> is a word of running text. ' + P.replace("the blood", '<a href="b">the blood</a>') * 2 + "<div><footer>" + FARM + "</footer></div>")
+    assert clean.startswith("x is a word") and clean.count("receive the blood of") == 2 and "Plates" not in clean
+
+
 def test_clean_markup_edges(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "plain", "x"), (4, "<p>a</p>", None), (4, "<p>a</p>", None), (5, "<i>b</i> " * 20_000, "y")]
     df = spark.createDataFrame(rows, "row_id int, text string, clean_text string")
@@ -44,7 +63,7 @@ def test_clean_markup_edges(spark):
 
 
 def test_prefilter_passes_what_the_parser_marks(spark):
-    texts = ["See [http://a.b the page].", "a | b\n|---|---|\n1 | 2", "Head\n-----\nText.", "a\n|-\nb", "a\n    ====\nb"]
+    texts = ["x $" + "a_" * 400 + "z$ y", "&lt;i class='" + "k" * 900 + "'&gt;x", "&lt;!--" + "c" * 900 + "--&gt; t", "See [http://a.b the page].", "a | b\n|---|---|\n1 | 2", "Head\n-----\nText.", "a\n|-\nb", "a\n    ====\nb"]
     assert all(markup.convert(t)[1] for t in texts)
     df = spark.createDataFrame(list(enumerate(texts)), "row_id int, text string")
     assert markup.clean_markup(df, ["row_id"], "text", only_marked=True).count() == len(texts)
