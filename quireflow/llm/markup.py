@@ -6,8 +6,8 @@ of one block (inline elements such as links and emphasis belong to the block aro
 share a root-to-leaf tag path. For each path the length of text outside links and the
 number of punctuation marks are added up and divided by its blocks; both ratios are
 smoothed along the order of blocks, fused by their product on a scale of logarithms, and
-a path falls if the fused ratio of its blocks is below the mean of the document less its
-spread. So navigation, footers and farms of links fall in whatever element they stand, while
+a path falls if the fused ratio of its blocks is below ``LEAST_SHARE`` of the mean over all
+blocks. So navigation, footers and farms of links fall in whatever element they stand, while
 links within running text stay with their block. Paths of structure (headings, lists,
 tables, code, formulas) are short by nature: they fall only if most of their text is
 links as well. Text outside of all elements has no path and stays. What no reader shows
@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 HIDDEN = {"script", "style", "head", "noscript", "template", "iframe", "svg", "comment", "category"}
 INLINE = {"a", "b", "i", "em", "strong", "span", "sup", "sub", "small", "big", "u", "s", "tt", "font", "abbr", "cite", "q", "ref", "code", "kbd", "var", "mark", "strike", "label"}
 BREAKS = {"p", "div", "section", "article", "blockquote", "ul", "ol", "table", "pre", "figure", "br", "hr", "header", "main", "body", "html", "nav", "footer", "aside", "form", "menu"}
+#: Threshold of the fused ratio, as a share of its mean over the blocks of a document.
+LEAST_SHARE = 0.2
 STRUCTURE = {"h", "li", "ul", "ol", "dl", "table", "tr", "pre", "math"}
 
 _TAG = r"<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9]{0,10})(?P<attrs>(?:\s[^<>]*)?)/?>"
@@ -111,6 +113,8 @@ class _Tree:
         self.text(s, *more)
 
     def open(self, tag: str) -> None:
+        if (tag in BREAKS - {"br", "hr"} or tag == "h") and "p" in self.stack:
+            self.close("p")  # a block ends a paragraph that was left open
         if tag not in ("br", "hr", "img", "input", "meta", "link"):
             self.stack.append(tag)
         if tag == "ref":
@@ -242,11 +246,14 @@ def _content(nodes: list[tuple[tuple[str, ...], str]]) -> list[bool]:
     blocks: list[tuple[str, ...]] = []
     # Of each path: letters outside links, letters in links, punctuation, blocks.
     sums: dict[tuple[str, ...], list[float]] = {}
+    last, begun = None, False
     for (path, s), p, show in zip(nodes, paths, shown):
+        last, begun = p, begun and p == last
         if not show or not s.strip():
             continue
         t = sums.setdefault(p, [0.0, 0.0, 0.0, 0.0])
-        if not blocks or blocks[-1] != p:
+        if not begun:
+            begun = True
             blocks.append(p)
             t[3] += 1
         t["a" in path] += len(s.strip())
@@ -264,7 +271,7 @@ def _content(nodes: list[tuple[tuple[str, ...], str]]) -> list[bool]:
         fused.setdefault(p, []).append(length * (1 + marks))
     all_ = [x for xs in fused.values() for x in xs]
     mean = sum(all_) / len(all_)
-    least = mean - math.sqrt(sum((x - mean) ** 2 for x in all_) / len(all_)) - 1e-9
+    least = LEAST_SHARE * mean
     fallen = {p for p, xs in fused.items() if p and sum(xs) / len(xs) < least and (not STRUCTURE & set(p) or sums[p][1] > sums[p][0])}
     return [show and p not in fallen for show, p in zip(shown, paths)]
 
