@@ -1,20 +1,28 @@
 """Text decoded with the wrong character encoding: found and restored by a table of garbled words.
 
-Every distinct word of the corpus with letters or signs beyond ASCII that stands in two
-documents or more is garbled under all encoding chains, and the tokens of the documents
-are hash-joined with this table. A token is garbled if the corpus holds the word it would
-come from much more often than the token itself: in distinct texts, so that a garbled text
-under many ids does not outnumber its words, or in rows, so that a clean text under many ids
-counts as well, unless distinct texts say the reverse. The same is done for the pieces of words
-(a run of signs beyond ASCII with the kinds of its neighbours, and pairs of signs within
-long runs), for names and sentences whose clean form stands nowhere else. A token is
-restored by taking its chain back, where this gives the verified original.
+Every distinct word of the corpus with letters or signs beyond ASCII is garbled under all
+encoding chains, and the tokens of the documents are hash-joined with this table. A token is
+garbled if the corpus holds the word it would come from often enough beside it: in distinct
+texts, so that a garbled text under many ids does not outnumber its words, or in rows, so
+that a clean text under many ids counts as well, unless distinct texts say the reverse. The
+same is done for the pieces of words (a run of signs beyond ASCII with the kinds of its
+neighbours, and pairs of signs within long runs), for names and sentences whose clean form
+stands nowhere else. All evidence is a ratio of counts, so it does not change with the size
+of the corpus.
+
+Restoring puts verified originals in the place of garbled tokens: the word of the table
+where a whole word was found; else the token with the chain of the document (the most
+frequent among its tokens) or its own taken back, if the corpus holds this word; else by
+pieces. A run with the sign of a failed decoding (U+FFFD), which no chain can take back, is
+joined to the most frequent word that fits around it, and else to the sign that mostly
+stands between such neighbours.
 
 Signs of failed decoding (the replacement character, and control characters that no
 text is written with) are garbled in themselves.
 
 Defined results: null, empty and blank texts, and texts of ASCII alone, are never found
-and stay as they are. Digits count as one digit. Repeated rows are judged alike.
+and stay as they are. Digits count as one digit. Repeated rows are judged alike. Every found
+row has a restored text; ``restorable`` is false where something garbled is left in it.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.runtime import materialize
@@ -45,12 +53,14 @@ CHAINS = [
     (("utf-8", "mac_roman"), ("utf-8", "mac_roman")), (("utf-8", "cp437"), ("utf-8", "cp437")), (("utf-8", "cp850"), ("utf-8", "cp850")), (("utf-8", "cp1251"), ("utf-8", "cp1251")),
 ]
 WIDE = {"utf-8", "gbk", "cp932", "big5", "shift_jis", "euc_jp"}
-#: How many times as often as a garbled form its original must stand: whole words, pieces of a chain that lengthens text, other pieces.
-WORD_TIMES, LONG_TIMES, PIECE_TIMES = 2, 3, 20
-#: Distinct texts up to which a token may be judged by its pieces alone: so many, or this share of all.
-RARE, RARE_SHARE = 3, 1e-4
-#: Longer words that a chain must have garbled before single signs are laid to it.
-SEEN = 3
+#: How many times as often as a garbled form its original must stand, whole words and pieces; for chains that lengthen text and for others.
+WORD_TIMES, PIECE_TIMES = (1, 2), (3, 20)
+#: Share of the longer garbled words that a chain must have before single signs are laid to it.
+SEEN_SHARE = 0.002
+#: How many times the number that the share of a chain lets one expect a piece may stand, beside one that chance may add.
+EXPECTED_TIMES = 5
+#: Share of the signs between such neighbours that one must have to stand for a lost one.
+SIGN_SHARE = 0.75
 #: Length of a run beyond which it is judged by pairs of signs.
 RUN = 12
 
@@ -118,10 +128,12 @@ def pieces(token: str) -> set[str]:
     return found
 
 
-def forms(unit: str) -> Iterator[tuple[str, int]]:
-    """What a unit may become, with the number of the chain."""
+def forms(unit: str, rows: int) -> Iterator[tuple[str, int]]:
+    """What a unit may become, with the number of the chain; a unit of one row can stand against chains that lengthen text alone."""
     left, run, right = unit.split("|") if unit.count("|") == 2 else ("", unit, "")
     for i, chain in enumerate(CHAINS):
+        if rows < 2 and chain[0][0] not in WIDE:
+            continue
         g = misread(run, chain)
         if g is not None and g != run:
             yield (f"{left}|{g}|{right}" if left else g), i
@@ -146,24 +158,25 @@ def _form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         units = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
         for a in range(0, len(units), 2_000):
-            rows = [(g, i, u, n, m) for u, n, m in units[a : a + 2_000] for g, i in forms(u)]
+            rows = [(g, i, u, n, m) for u, n, m in units[a : a + 2_000] for g, i in forms(u, m)]
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["form", "chain", "clean", "n_clean", "rows_clean"])
 
 
-def _garbled(units: DataFrame, unit: str, times: Column) -> DataFrame:
+def _garbled(units: DataFrame, unit: str, times: tuple[int, int]) -> DataFrame:
     """(``unit``, clean, chain) of the units that are a garbled form of one that is so many times as frequent.
 
     Counts over distinct texts decide, or those over rows. A chain that does not lengthen text
     may have its reverse among the chains: there rows decide only if texts do not say the reverse.
     """
     spread = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = units.where("n_rows >= 2").select(unit, "n", "n_rows").repartition(spread).mapInArrow(_form_batches, "form string, chain int, clean string, n_clean bigint, rows_clean bigint")
-    by_texts = F.col("n_clean") >= times * F.col("n")
-    by_rows = (F.col("rows_clean") >= times * F.col("n_rows")) & (_long_chain() | (F.col("n") <= times * F.col("n_clean")))
+    table = units.select(unit, "n", "n_rows").repartition(spread).mapInArrow(_form_batches, "form string, chain int, clean string, n_clean bigint, rows_clean bigint")
+    least = F.when(_long_chain(), F.lit(times[0])).otherwise(F.lit(times[1]))
+    by_texts = F.col("n_clean") >= least * F.col("n")
+    by_rows = (F.col("rows_clean") >= least * F.col("n_rows")) & (_long_chain() | (F.col("n") <= least * F.col("n_clean")))
     met = units.join(table, F.col(unit) == F.col("form")).where(by_texts | by_rows)
-    best = met.groupBy(unit).agg(F.min_by(F.struct("clean", "chain"), F.struct(-F.col("n_clean"), -F.col("rows_clean"), "chain")).alias("b"))
-    return best.select(unit, "b.clean", "b.chain")
+    best = met.groupBy(unit).agg(F.first("n").alias("n"), F.min_by(F.struct("clean", "chain", "n_clean"), F.struct(-F.col("n_clean"), -F.col("rows_clean"), "chain")).alias("b"))
+    return best.select(unit, "n", "b.clean", "b.chain", "b.n_clean")
 
 
 def _long_chain() -> Column:
@@ -176,54 +189,109 @@ def _own(df: DataFrame, key: str, text: str) -> DataFrame:
     return materialize(own.mapInArrow(_token_batches, f"key {df.schema[key].dataType.simpleString()}, hash string, hard boolean, tokens array<string>"), "encoding-tokens")
 
 
-def garbled_tokens(read: DataFrame) -> DataFrame:
-    """(token, chain) of the garbled tokens; chain is null where no single chain is known."""
+def _words(read: DataFrame) -> DataFrame:
+    """(token, n, n_rows): distinct texts and rows of each token."""
     texts = read.groupBy("hash").agg(F.first("tokens").alias("tokens"), F.count("*").alias("copies"))
-    words = materialize(texts.select("copies", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum("copies").alias("n_rows")), "encoding-words")
-    rare = max(RARE, int(RARE_SHARE * read.select("hash").distinct().count()))
-    whole = materialize(_garbled(words, "token", F.lit(WORD_TIMES)), "encoding-whole")
-    # A chain that turns up in no longer words is a chance likeness of signs.
-    seen = whole.where("length(token) >= 4").groupBy("chain").count().where(f"count >= {SEEN}").select("chain")  # a row for each chain at most
-    whole = whole.where("length(token) >= 3").unionByName(whole.where("length(token) < 3").join(seen, "chain", "left_semi").select(*whole.columns))
+    return materialize(texts.select("copies", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum("copies").alias("n_rows")), "encoding-words")
+
+
+def garbled_tokens(words: DataFrame) -> DataFrame:
+    """(token, clean, chain) of the garbled tokens; clean is null where the token was found by its pieces."""
+    whole = materialize(_garbled(words, "token", WORD_TIMES), "encoding-whole")
+    # A chain that turns up in hardly any of the longer words is a chance likeness of signs. Its share is how often words are garbled by it.
+    longer = whole.where("length(token) >= 4").groupBy("chain").agg(F.count("*").alias("words"), (F.sum("n") / F.sum("n_clean")).alias("share"))
+    seen = longer.crossJoin(F.broadcast(longer.agg(F.sum("words").alias("all_words")))).where(F.col("words") >= SEEN_SHARE * F.col("all_words")).select("chain", "share")  # a row for each chain at most
+    seen = materialize(seen, "encoding-chains")
+    whole = whole.where("length(token) >= 3").unionByName(whole.where("length(token) < 3").join(F.broadcast(seen), "chain", "left_semi").select(*whole.columns))
     cut = materialize(words.mapInArrow(_piece_batches, "token string, n bigint, n_rows bigint, pieces array<string>"), "encoding-pieces")
     exploded = cut.select("token", "n", "n_rows", F.explode("pieces").alias("piece"))
-    units = exploded.groupBy("piece").agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows"))
-    bad = _garbled(units, "piece", F.when(_long_chain(), F.lit(LONG_TIMES)).otherwise(F.lit(PIECE_TIMES)))
-    bad = bad.where(_long_chain()).unionByName(bad.where(~_long_chain()).join(seen, "chain", "left_semi").select(*bad.columns))
-    partly = (
-        exploded.join(bad, "piece")
-        .where(_long_chain() | (F.col("n") <= rare))
-        .groupBy("token", "chain")
-        .agg(F.count("*").alias("votes"))
-        .withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("votes"), "chain")))
-        .where("place = 1")
-    )
-    return whole.select("token", "chain").unionByName(partly.join(whole, "token", "left_anti").select("token", "chain"))
+    units = materialize(exploded.groupBy("piece").agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows")), "encoding-units")
+    bad = _garbled(units, "piece", PIECE_TIMES)
+    # Signs that stand far more often than the chain garbles words are written as they are. A single sign without its neighbours tells nothing.
+    likely = bad.where(~_long_chain() & (F.length("piece") > 1)).join(F.broadcast(seen), "chain").where(F.col("n") <= 1 + EXPECTED_TIMES * F.col("share") * F.col("n_clean"))
+    bad = bad.where(_long_chain()).select("piece", "chain").unionByName(likely.select("piece", "chain"))
+    votes = exploded.select("token", "piece").join(bad, "piece").groupBy("token", "chain").agg(F.count("*").alias("votes"))
+    partly = votes.groupBy("token").agg(F.min_by("chain", F.struct(-F.col("votes"), "chain")).alias("chain"))
+    found = whole.select("token", "clean", "chain").unionByName(partly.join(whole, "token", "left_anti").select("token", F.lit(None).cast("string").alias("clean"), "chain"))
+    return materialize(found, "encoding-found")
 
 
 def find_garbled(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key`` of the rows whose text is garbled, wholly or in part."""
     read = _own(df, key, text)
-    bad = garbled_tokens(read)
+    bad = garbled_tokens(_words(read))
     soft = read.where("NOT hard").select("key", F.explode("tokens").alias("token")).join(bad.select("token"), "token", "left_semi")
     return read.where("hard").select("key").unionByName(soft.select("key")).distinct().withColumnRenamed("key", key)
 
 
-def _restore(text: str, chains: dict[str, int]) -> str:
-    votes = Counter(chains.values())
-    order = [i for i, _ in votes.most_common()]
+def _skeleton(token: str) -> str:
+    """A token with one sign for each run beyond ASCII."""
+    return _BEYOND.sub("\ufffd", token)
+
+
+def _nature(c: str) -> str:
+    return "0" if c.isdigit() else "_" if c.isspace() else "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else "\ufffd" if c > "\x7f" else c
+
+
+#: Levels of context, from near to the letter to kinds alone: (signs on either side, whether letters are kept).
+LEVELS = [(6, True), (4, True), (3, False), (2, False), (1, False)]
+
+
+def _contexts(text: str, start: int, end: int) -> list[str]:
+    """What stands on either side of a run, level by level."""
+    found = []
+    for k, (n, letters) in enumerate(LEVELS):
+        left, right = text[max(0, start - n) : start], text[end : end + n]
+        found.append(f"{k}" + "|".join("".join(c.lower() if letters and "A" <= c <= "z" else _nature(c) for c in s) for s in (left, right)))
+    return found
+
+
+def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, sign, n): runs beyond ASCII of three signs at most with their neighbours, those of failed decodings left out."""
+    counts: Counter[tuple[str, str]] = Counter()
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            for m in _BEYOND.finditer(t):
+                if len(m.group()) <= 3 and "\ufffd" not in m.group():
+                    for unit in _contexts(t, m.start(), m.end()):
+                        counts[unit, m.group()] += 1
+    keys = list(counts)
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["unit", "sign", "n"])
+
 
-    def one(word: str) -> str:
-        own = chains.get(_DIGIT.sub("0", word))
-        if own is None:
-            return word
-        for i in dict.fromkeys([*([order[0]] if votes[order[0]] > 2 else []), own]):
-            found = reread(word, CHAINS[i])
-            if found and found != word:
-                return found
-        return _BEYOND.sub(lambda m: _within(m.group(), CHAINS[own]), word) if CHAINS[own][0][0] in WIDE else word
+def _plan(text: str, given: list[tuple[str, str | None, int]]) -> Iterator[tuple[str, str, list[str]]]:
+    """(kind, token or context, units to look up) of what is garbled in a text, best units first.
 
-    return _TOKEN.sub(lambda m: one(m.group()), text)
+    Kind "is": the unit is the original. "word": the first unit that the corpus holds. "fit": the best word around lost signs. "sign": by neighbours.
+    """
+    own = {t: (c, i) for t, c, i in given}
+    votes = Counter(i for _, _, i in given).most_common()
+    main = votes[0][0] if votes and 2 * votes[0][1] > sum(n for _, n in votes) and (len(votes) == 1 or votes[0][1] > 2) else None
+    for token in sorted({m.group() for m in _TOKEN.finditer(text)}):
+        folded = _DIGIT.sub("0", token)
+        clean, chain = own.get(folded, (None, None))
+        if "\ufffd" in token:
+            if _skeleton(folded) != "\ufffd":
+                yield "fit", token, [_skeleton(folded)]
+            continue
+        found = []
+        for i in dict.fromkeys(x for x in (main, chain) if x is not None):
+            back = reread(token, CHAINS[i])
+            if back and back != token:
+                found.append(back)
+        if clean is not None:
+            digits = iter(_DIGIT.findall(token))
+            whole = re.sub("0", lambda m: next(digits, "0"), clean)
+            # The document's own chain may say another word of the corpus; the word of the table is verified already.
+            yield ("word", token, [found[0], whole]) if found and main is not None and found[0] != whole else ("is", token, [whole])
+        elif chain is not None or (found and main is not None):
+            if chain is not None and CHAINS[chain][0][0] in WIDE:
+                found.append(_BEYOND.sub(lambda m: _within(m.group(), CHAINS[chain]), token))
+            yield ("word" if chain is None else "back"), token, found
+    for m in _BEYOND.finditer(text):
+        if "\ufffd" in m.group():
+            for unit in _contexts(text, m.start(), m.end()):
+                yield "sign", unit, [unit]
 
 
 def _within(run: str, chain: tuple) -> str:
@@ -242,19 +310,74 @@ def _within(run: str, chain: tuple) -> str:
     return "".join(out)
 
 
+def _plan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for key, text, given in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for kind, token, units in _plan(text, [(g["token"], g["clean"], g["chain"]) for g in given or []]):
+                rows += [(key, kind, token, unit, _DIGIT.sub("0", unit) if kind in ("word", "back") else unit, at) for at, unit in enumerate(units)]
+        columns = list(zip(*rows)) or [[]] * 6
+        kinds = (batch.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "kind", "token", "unit", "folded", "at"])
+
+
+def _restore(text: str, fixes: dict[tuple[str, str], str]) -> tuple[str, bool]:
+    """The text with its originals put in, and whether nothing garbled is left."""
+
+    def one(m: re.Match) -> str:
+        token = m.group()
+        to = fixes.get(("token", token))
+        if to is not None and "\ufffd" in token:
+            digits = iter(_DIGIT.findall(token))
+            return re.sub("0", lambda x: next(digits, "0"), to)
+        return to if to is not None else token
+
+    done = _TOKEN.sub(one, text)
+    if "\ufffd" in done:
+        def sign(m: re.Match) -> str:
+            if "\ufffd" not in m.group():
+                return m.group()
+            # The longest context that the corpus knows decides; it may know no sign that mostly stands there. Within a word kinds tell nothing.
+            within = done[m.start() - 1 : m.start()].isalpha() and done[m.end() : m.end() + 1].isalpha()
+            return next((s for u in _contexts(done, m.start(), m.end())[: 2 if within else None] if (s := fixes.get(("sign", u))) is not None), "") or m.group()
+
+        done = _BEYOND.sub(sign, done)
+    return done, not _HARD.search(done)
+
+
 def _restore_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        done = [_restore(t, dict(c)) if c else t for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.string())], ["key", "restored_text"])
+        done = [_restore(t, {("sign" if f["kind"] == "sign" else "token", f["token"]): f["to"] for f in x or []}) for t, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([r for _, r in done], pa.bool_())], ["key", "restored_text", "restorable"])
 
 
 def restore(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key`` and restored_text of each row with garbled tokens; ``key`` must be unique."""
+    """``key``, restored_text and restorable of each garbled row; ``key`` must be unique."""
+    kind = df.schema[key].dataType.simpleString()
     read = _own(df, key, text)
-    chains = (
-        read.select("key", F.explode("tokens").alias("token")).join(garbled_tokens(read), "token")
-        .groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("token", "chain"))).alias("chains"))
-    )
+    words = _words(read)
+    bad = garbled_tokens(words)
+    given = read.select("key", F.explode("tokens").alias("token")).join(bad, "token").groupBy("key").agg(F.collect_list(F.struct("token", "clean", "chain")).alias("given"))  # tokens of one text
+    found = read.where("hard").select("key").join(given, "key", "full")
     own = df.select(df[key].alias("key"), df[text].alias("text"))
-    kind = df.schema[key].dataType.simpleString()
-    return own.join(chains, "key").mapInArrow(_restore_batches, f"key {kind}, restored_text string").withColumnRenamed("key", key)
+    found = materialize(own.join(found, "key").select("key", "text", "given"), "encoding-rows")
+    plan = materialize(found.mapInArrow(_plan_batches, f"key {kind}, kind string, token string, unit string, folded string, at int"), "encoding-plan")
+    good = words.join(bad.select("token"), "token", "left_anti").where(~F.col("token").contains("\ufffd"))
+    held = plan.where("kind IN ('word', 'back')").join(good.select(F.col("token").alias("folded"), F.lit(True).alias("held")), "folded", "left")
+    # Of what the pieces say something is garbled the first reading is taken even if the corpus holds none.
+    chosen = held.where("held OR kind = 'back'").groupBy("key", "kind", "token").agg(F.min_by("unit", F.struct(F.col("held").isNull(), "at")).alias("to"))
+    fit = plan.where("kind = 'fit'").select("key", "kind", "token", "unit")
+    skeletons = good.withColumn("unit", F.regexp_replace("token", r"[\x{80}-\x{10ffff}]+", "\ufffd")).join(fit.select("unit").distinct(), "unit", "left_semi")
+    best = skeletons.groupBy("unit").agg(F.max_by("token", F.struct("n", "token")).alias("to"))
+    signs = own.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("text").mapInArrow(_sign_batches, "unit string, sign string, n bigint").groupBy("unit", "sign").agg(F.sum("n").alias("n"))
+    signs = signs.join(plan.where("kind = 'sign'").select("unit").distinct(), "unit", "left_semi").groupBy("unit").agg(F.max_by("sign", F.struct("n", "sign")).alias("to"), F.max("n").alias("most"), F.sum("n").alias("all_signs"))
+    signs = signs.select("unit", F.when(F.col("most") >= SIGN_SHARE * F.col("all_signs"), F.col("to")).otherwise("").alias("to"))
+    fixes = (
+        plan.where("kind = 'is'").select("key", "kind", "token", F.col("unit").alias("to"))
+        .unionByName(chosen)
+        .unionByName(fit.join(best, "unit").select("key", "kind", "token", "to"))
+        .unionByName(plan.where("kind = 'sign'").select("key", "kind", "token", "unit").distinct().join(signs, "unit").select("key", "kind", "token", "to"))
+        .groupBy("key").agg(F.collect_list(F.struct("kind", "token", "to")).alias("fixes"))
+    )
+    done = found.select("key", "text").join(fixes, "key", "left").mapInArrow(_restore_batches, f"key {kind}, restored_text string, restorable boolean")
+    return done.withColumnRenamed("key", key)

@@ -376,6 +376,21 @@ def test_garbled_copies(spark):
     assert {r["restored_text"] for r in encodings.restore(df, "doc_id", "text").collect()} == {clean}
 
 
+def test_lost_signs_and_verified_originals(spark):
+    """Lost signs come back by the word or the neighbours that fit; every found row has a text and says whether it is whole."""
+    clean = "The hæmorrhage of 4½ days – a naïve jalapeño; it costs £27 now, and don’t exceed it"
+    rows = [(i, f"{clean}, case {i}") for i in range(30)]
+    rows += [(100, f"{clean}, case 7".replace("æ", "\ufffd").replace("–", "\ufffd").replace("£", "\ufffd").replace("’", "\ufffd")), (101, "A w\ufffdrd without a likeness zz\ufffdzz")]
+    rows += [(102, encodings.misread("Naïve hæmorrhage of Zoë", (("utf-8", "cp1252"),)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"] for r in encodings.find_garbled(df, "doc_id", "text").collect()}
+    got = {r["doc_id"]: r for r in encodings.restore(df, "doc_id", "text").collect()}
+    assert found == set(got) == {100, 101, 102}
+    assert got[100]["restored_text"] == f"{clean}, case 7" and got[100]["restorable"]
+    assert not got[101]["restorable"] and got[102]["restored_text"] == "Naïve hæmorrhage of Zoë"
+    assert encodings.restore(df.limit(0), "doc_id", "text").count() == 0
+
+
 def test_scan_noise_copies(spark):
     rows = [(i, "lantern-1", f"{PROSE * 2}{PROSE[: 60 + i]}") for i in range(40)]
     rows += [(100 + i, "lantern-1", "12\n" + PROSE.replace("liver", "livcr").replace("patient", "paticnt")) for i in range(30)]
