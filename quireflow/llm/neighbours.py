@@ -1,11 +1,15 @@
 """The k most similar vectors of every vector: inverted file with product quantisation.
 
-Coarse centroids and the codebooks of the residuals are trained on a sample of at most
+Coarse centroids and the codebooks of the residuals are trained on a sample of about
 ``train_rows`` distinct vectors (the only bound on what is looked at; every row is
-indexed). Centroids that lie together form groups, sized from the sample so that a task
-holds about ``block_rows`` vectors; a group that outgrows this, such as a crowded cell,
-is split into several blocks by hash. Each vector is sent as a query to the blocks of its
-``probes`` nearest cells, once a group. In a block, asymmetric distance tables score the
+indexed). There is a cell for ``cell_rows`` vectors; in large tables cells grow in number and in
+size with the square root of the rows, and centroids are searched in two levels, so work grows
+as n to the power 1.5 and the centroids sent to tasks stay small. The candidates of a cell
+that are ranked exactly grow with the square root of its size. Centroids that lie together form
+groups, sized from the sample so that a task holds about ``block_rows`` vectors; a group
+that outgrows this, such as a crowded cell, is split into several blocks by hash. Each
+vector is sent as a query to the blocks of its ``probes`` nearest cells, once a group; to its own
+block it goes once, as query and as entry. In a block, asymmetric distance tables score the
 codes of the probed cells, and the best of each cell are ranked again by exact cosine.
 
 Exact copies are collapsed before any exchange and once more in each block, so a vector
@@ -29,39 +33,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quireflow.operators.vectors import Cells, cell_count, kmeans, train_cells
+from quireflow.runtime import materialize
+
+
+#: Parts that the copies of one vector are divided into.
+SALTS = 32
 
 
 @dataclass(frozen=True)
 class IndexSettings:
     dim: int = 96
-    #: Bound of the training sample.
+    #: Size of the training sample: so many vectors, or so many a cell, up to the bound.
     train_rows: int = 20_000
-    #: Vectors a coarse cell holds on average.
+    train_rows_a_cell: int = 8
+    most_train_rows: int = 400_000
+    #: Vectors a coarse cell holds on average, up to ``knee`` rows; beyond, cells grow with the square root of the rows.
     cell_rows: int = 200
-    #: Bound of the number of coarse cells, hence of what is sent to every task.
-    max_cells: int = 4096
+    knee: int = 400_000
     parts: int = 12
     codes: int = 64
     probes: int = 5
-    #: Candidates of a cell that are ranked exactly.
+    #: Candidates of a cell that are ranked exactly: so many, and this times the square root of its size.
     rerank: int = 64
+    rerank_root: float = 4.5
     block_rows: int = 16_000
     seed: int = 17
 
 
 @dataclass
 class Quantizer:
-    """What training gives; a few MB at most, by ``max_cells``."""
+    """What training gives: tens of MB at most, for cells grow with the square root of the rows."""
 
-    centroids: np.ndarray
+    cells: Cells
     books: np.ndarray
     group_of_cell: np.ndarray
     blocks_of_group: np.ndarray
     settings: IndexSettings = field(default_factory=IndexSettings)
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """Ranks cells for unit vectors: highest first is nearest first."""
-        return x @ self.centroids.T - 0.5 * (self.centroids**2).sum(1)
+    @property
+    def centroids(self) -> np.ndarray:
+        return self.cells.centroids
 
     def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         s, rest = self.settings, x - self.centroids[cell]
@@ -73,21 +85,6 @@ class Quantizer:
         return out
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
-    """Centroids; empty ones are set anew on random rows."""
-    k = min(k, len(x))
-    c = x[rng.choice(len(x), k, replace=False)].copy()
-    for _ in range(rounds):
-        a = (x @ c.T - 0.5 * (c**2).sum(1)).argmax(1)
-        order = np.argsort(a, kind="stable")
-        count = np.bincount(a, minlength=k)
-        starts = np.concatenate([[0], np.cumsum(count)[:-1]])
-        full = count > 0
-        c[full] = np.add.reduceat(x[order], starts[full], axis=0) / count[full][:, None]
-        c[~full] = x[rng.choice(len(x), int((~full).sum()))]
-    return c
-
-
 def halve(centroids: np.ndarray, weight: np.ndarray, cells: np.ndarray, most: float, groups: list[np.ndarray]) -> None:
     """Splits cells across their widest direction until a group weighs at most ``most``."""
     if len(cells) == 1 or weight[cells].sum() <= most:
@@ -105,9 +102,9 @@ def halve(centroids: np.ndarray, weight: np.ndarray, cells: np.ndarray, most: fl
 def train(sample: np.ndarray, rows: int, s: IndexSettings) -> Quantizer:
     """Cells, codebooks and the plan of blocks for an index of ``rows`` vectors."""
     rng = np.random.default_rng(s.seed)
-    k = max(1, min(s.max_cells, len(sample) // 4 or 1, math.ceil(rows / s.cell_rows)))
-    c = kmeans(sample, k, 8, rng)
-    cell = (sample @ c.T - 0.5 * (c**2).sum(1)).argmax(1)
+    coarse = train_cells(sample, min(len(sample) // 4 or 1, cell_count(rows, s.cell_rows, s.knee)), 8, rng)
+    c = coarse.centroids
+    cell = coarse.nearest(sample, 1)[:, 0]
     rest, sub = sample - c[cell], s.dim // s.parts
     part = rest[rng.choice(len(rest), min(len(rest), 8_000), replace=False)]
     books = np.zeros((s.parts, s.codes, sub), np.float32)
@@ -122,7 +119,8 @@ def train(sample: np.ndarray, rows: int, s: IndexSettings) -> Quantizer:
     for g, cells in enumerate(groups):
         of[cells] = g
     blocks = np.array([max(1, math.ceil(weight[cells].sum() / s.block_rows)) for cells in groups], np.int32)
-    return Quantizer(c.astype(np.float32), books, of, blocks, s)
+    coarse.centroids = c.astype(np.float32)
+    return Quantizer(coarse, books, of, blocks, s)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -151,29 +149,25 @@ def _usable(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBa
 
 
 def _route(batches: Iterator[pa.RecordBatch], q: Quantizer) -> Iterator[pa.RecordBatch]:
-    """Rows for the blocks: kind 0 is a vector to be indexed, kind 1 a query with its probed cells of that group."""
+    """Rows for the blocks: a vector to be indexed has its cell in ``own``; ``cells`` are those of that group it probes."""
     s = q.settings
     for batch in batches:
         if not batch.num_rows:
             continue
         hs, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        x = _matrix(batch.column(1), s.dim)
-        score = q.scores(x)
-        p = min(s.probes, score.shape[1])
-        near = np.argpartition(-score, p - 1, axis=1)[:, :p]
-        own = score.argmax(1)
+        near = q.cells.nearest(_matrix(batch.column(1), s.dim), s.probes)
         salt = np.array([int.from_bytes(h[:4], "big") for h in hs])
         rows: list[tuple] = []
         for i in range(len(hs)):
-            g = int(q.group_of_cell[own[i]])
-            rows.append((g, int(salt[i] % q.blocks_of_group[g]), 0, hs[i], vs[i], int(own[i]).to_bytes(2, "little")))
+            mine = int(q.group_of_cell[near[i, 0]])
             groups = q.group_of_cell[near[i]]
-            for g in np.unique(groups):
-                cells = near[i][groups == g].astype("<u2").tobytes()
+            for g in np.unique(groups).tolist():
+                cells = near[i][groups == g].astype("<u4").tobytes()
                 for b in range(int(q.blocks_of_group[g])):
-                    rows.append((int(g), b, 1, hs[i], vs[i], cells))
-        names = ["grp", "block", "kind", "h", "v", "cells"]
-        types = [pa.int32(), pa.int32(), pa.int8(), pa.binary(), pa.binary(), pa.binary()]
+                    entry = g == mine and b == int(salt[i] % q.blocks_of_group[g])
+                    rows.append((g, b, int(near[i, 0]) if entry else -1, hs[i], vs[i], cells))
+        names = ["grp", "block", "own", "h", "v", "cells"]
+        types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         for a in range(0, len(rows), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 20_000]), types)], names)
 
@@ -185,8 +179,7 @@ def _distinct(h: list[bytes]) -> np.ndarray:
 def search_block(table: pa.Table, q: Quantizer, k: int, min_cos: float) -> pa.Table:
     """The best ``k`` of a block for each of its queries."""
     s = q.settings
-    kind = table.column("kind").to_numpy()
-    base, ask = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 1))
+    base, ask = table.filter(pa.array(table.column("own").to_numpy() >= 0)), table
     empty = pa.table({"h": pa.array([], pa.binary()), "near": pa.array([], pa.binary()), "cos": pa.array([], pa.float32())})
     if not base.num_rows or not ask.num_rows:
         return empty
@@ -195,11 +188,11 @@ def search_block(table: pa.Table, q: Quantizer, k: int, min_cos: float) -> pa.Ta
     bh, ah = [bh[i] for i in bi], [ah[i] for i in ai]
     base, ask = base.take(pa.array(bi)).combine_chunks(), ask.take(pa.array(ai)).combine_chunks()
     bx, ax = _matrix(base.column("v"), s.dim), _matrix(ask.column("v"), s.dim)
-    cell = np.frombuffer(b"".join(base.column("cells").to_pylist()), "<u2").astype(np.int64)
+    cell = base.column("own").to_numpy().astype(np.int64)
     codes = q.encode(bx, cell)
     probed = ask.column("cells").to_pylist()
-    count = np.array([len(p) // 2 for p in probed])
-    p_cell = np.frombuffer(b"".join(probed), "<u2").astype(np.int64)
+    count = np.array([len(p) // 4 for p in probed])
+    p_cell = np.frombuffer(b"".join(probed), "<u4").astype(np.int64)
     p_row = np.repeat(np.arange(len(ax)), count)
     sub = s.dim // s.parts
     tables = np.einsum("qmd,mkd->mqk", ax.reshape(len(ax), s.parts, sub), q.books, optimize=True).astype(np.float32)
@@ -218,8 +211,9 @@ def search_block(table: pa.Table, q: Quantizer, k: int, min_cos: float) -> pa.Ta
             for m in range(s.parts):
                 score += tables[m][rows][:, codes[members, m]]
             score[self_of[rows][:, None] == members[None, :]] = -9.0
-            if len(members) > s.rerank:
-                top = np.argpartition(-score, s.rerank - 1, axis=1)[:, : s.rerank]
+            most = max(s.rerank, math.ceil(s.rerank_root * math.sqrt(len(members))))
+            if len(members) > most:
+                top = np.argpartition(-score, most - 1, axis=1)[:, :most]
             else:
                 top = np.broadcast_to(np.arange(len(members)), score.shape)
             keep = np.take_along_axis(score, top, 1) > floor
@@ -244,27 +238,31 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, min_cos: float = -
     """(``vec_id``, ``near_id``, ``cos``): the ``k`` nearest of each usable vector, those of cosine ``min_cos`` or more."""
     s = settings or IndexSettings()
     own = df.select(df[key].cast("bigint").alias("id"), df[vector].cast("array<float>").alias("e"))
-    distinct = own.mapInArrow(lambda b: _usable(b, s.dim), "h binary, v binary, ids array<bigint>")
+    kinds = "h binary, v binary, ids array<bigint>"
+    distinct = lambda x: x.mapInArrow(lambda b: _usable(b, s.dim), kinds)
     rows = own.count()
-    sample = (
-        own.orderBy(F.xxhash64("id", F.lit(s.seed))).limit(s.train_rows).mapInArrow(lambda b: _usable(b, s.dim), "h binary, v binary, ids array<bigint>").select("h", "v").toArrow()
-    )
+    wanted = min(s.most_train_rows, max(s.train_rows, s.train_rows_a_cell * cell_count(rows, s.cell_rows, s.knee)))
+    # A hash of the id tells the sample, with no sort and no exchange.
+    grain = 1 << 30
+    sample = distinct(own.where(F.pmod(F.xxhash64("id", F.lit(s.seed)), F.lit(grain)) < math.ceil(min(1.0, wanted / max(rows, 1)) * grain))).select("h", "v").toArrow()
     if not sample.num_rows:
         return df.sparkSession.createDataFrame([], "vec_id bigint, near_id bigint, cos float")
     at = _distinct(sample.column("h").to_pylist())
     x = _matrix(sample.take(pa.array(at)).column("v").combine_chunks(), s.dim)
     model = df.sparkSession.sparkContext.broadcast(train(x, rows, s))
+    # The ids of each vector are written once; the vectors themselves go straight to their blocks.
+    members = materialize(distinct(own).select("h", "ids"), "vector-ids")
     found = (
-        distinct.select("h", "v")
-        .mapInArrow(lambda b: _route(b, model.value), "grp int, block int, kind byte, h binary, v binary, cells binary")
+        distinct(own).select("h", "v")
+        .mapInArrow(lambda b: _route(b, model.value), "grp int, block int, own int, h binary, v binary, cells binary")
         .groupBy("grp", "block")
         .applyInArrow(lambda t: search_block(t, model.value, k, min_cos), "h binary, near binary, cos float")
     )
-    # Members of each class of copies: the k + 1 lowest ids and the number, and the ids beyond them.
-    low = F.slice("ids", 1, k + 1)
+    # Members of each class of copies: the k + 1 lowest ids and the number; first by task, so that no list grows with the copies.
+    low = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, k + 1)
     classes = (
-        distinct.groupBy("h")
-        .agg(F.slice(F.array_sort(F.flatten(F.collect_list(low))), 1, k + 1).alias("low"), F.sum(F.size("ids")).alias("n"))
+        members.groupBy("h", (F.spark_partition_id() % 64).alias("salt")).agg(low(F.slice("ids", 1, k + 1)).alias("low"), F.sum(F.size("ids")).alias("n"))
+        .groupBy("h").agg(low("low").alias("low"), F.sum("n").alias("n"))
     )
     best = (
         found.join(classes.select(F.col("h").alias("near"), F.col("low").alias("near_low")), "near")
@@ -278,9 +276,14 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, min_cos: float = -
         .withColumn("all", F.flatten(F.transform("all", lambda x: F.transform(x["near_low"], lambda i: F.struct(x["minus"].alias("minus"), i.alias("id"))))))
         .select("h", "low", "n", "all")
     )
+    lists = materialize(lists, "vector-lists")
     few = lists.select(F.explode("low").alias("vec_id"), "all")
-    many = lists.where(F.col("n") > k + 1).select("h", F.col("low").alias("out"), "all")
-    rest = distinct.select("h", F.explode("ids").alias("vec_id")).join(many, "h").where(~F.array_contains("out", F.col("vec_id"))).select("vec_id", "all")
+    # Classes with more copies than that: their lists are laid out under salts, so that the ids of one vector do not meet in one task.
+    many = lists.where(F.col("n") > k + 1).select("h", F.col("low").alias("out"), "all", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rest = (
+        members.select("h", F.explode("ids").alias("vec_id")).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
+        .join(many, ["h", "salt"]).where(~F.array_contains("out", F.col("vec_id"))).select("vec_id", "all")
+    )
     return (
         few.unionByName(rest)
         .select("vec_id", F.explode(F.slice(F.filter("all", lambda x: x["id"] != F.col("vec_id")), 1, k)).alias("x"))
