@@ -1,18 +1,21 @@
 """Repair of text from scanned pages: anagram-hash corrections, edge lines and hyphens.
 
-1. Words are counted over distinct texts of a book, and over all rows. Those that make up at least ``LEXICON_SHARE`` of the
-   text are the lexicon, so it never exceeds ``1 / LEXICON_SHARE`` words.
-2. Rare words are joined with frequent confusable variants in SQL. The anagram hash of a
-   word is the sum of the fifth powers of its code points: a confusion changes it by a
-   known difference, so words one confusion apart meet in a hash join. The differences
-   are those of the fixed confusions of several letters, and for single letters the hash
-   without one letter. Verified candidates are ranked by the frequency of the variant.
-   Rare words that are a frequent word with a stray sign in it, or two frequent words run
-   together, are found by joins on the same lexicon.
-3. Each row is read once more against the lexicon: words broken over a line end (joined
-   where the whole word is known and the compound with a hyphen is not), words torn apart,
-   page numbers on lines of their own, and running heads: capitals that begin with the
-   name of the book or repeat words that follow it elsewhere.
+1. Words are counted over distinct texts of a book, and over all rows.
+2. Rare words are joined with much more frequent confusable words in SQL, however frequent
+   these are in the corpus. The anagram hash of a word is the sum of a power of its code
+   points: a confusion changes it by a known difference, so words one confusion apart meet
+   in a hash join. The differences are those of the fixed confusions of several letters, and
+   for single letters the hash without one letter. Verified candidates are ranked by likelihood
+   and by the frequency of the word. Rare words that are a word with a stray sign in it, or
+   two words run together, are found by joins on the same words. What is left is tried with
+   two errors: confusions on both sides of a place where words ran together, or two in one word.
+3. Lines at the edges of rows (the first and last two), without numbers and signs, that
+   recur in a book are its running heads; their first word and the words of heads lead to
+   heads elsewhere in the text.
+4. Each row is read once more against the lexicon, the words that make up at least
+   ``LEXICON_SHARE`` of the text (so never more than ``1 / LEXICON_SHARE``): words broken over a
+   line end (joined where the whole word is known and the compound with a hyphen is not), words
+   torn apart, page numbers on lines at the edges or alone between two sentences, and heads.
 
 Defined results: null and blank texts are unchanged and hold no noise. Markup is set aside
 before words are read. A text under many rows makes no word frequent or rare by itself: a
@@ -26,6 +29,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -34,20 +38,31 @@ from pyspark.sql import functions as F
 from quireflow.llm import markup
 from quireflow.runtime import materialize
 
-#: Least share of all words that makes a word frequent; bounds the lexicon at 10,000 words.
-LEXICON_SHARE, LEXICON_LEAST = 1e-4, 10
-LONGEST = 40
+#: Least share of all words that puts a word into the lexicon of the readers (100,000 words at most), and how often it must stand to be evidence.
+LEXICON_SHARE, LEXICON_LEAST = 1e-5, 10
+LONGEST = 64
+#: Lines on either side of a text that are its edge, and the share of the texts of a book that a head stands in.
+EDGE_LINES, HEAD_SHARE = 2, 0.02
 #: Most a variant may stand for each time its word does: for likely confusions, for any letter, for words run together.
-LIKELY, ANY, TOGETHER = 0.08, 0.01, 0.002
+LIKELY, ANY, TOGETHER = 0.08, 0.01, 0.01
 #: Tokens remembered in a task.
 CACHE_TOKENS = 200_000
-#: Least share of its rows with other noise that a variant needs.
-COMPANY = 0.5
+#: Length from which any listed confusion may stand beside a second error.
+LONG_TOKEN = 8
+#: How many times as often as its rarest fragment a word must stand to be put together, and fragments at most.
+TORN_TIMES, FRAGMENTS = 50, 8
+#: Share of all words from which a word is common, so that nothing is looked for beside it.
+COMMON_SHARE = 1e-4
+#: Evidence (as a logarithm of odds) that a variant stands by itself more often than noise does, from which it is a word of its own.
+OWN_EVIDENCE = 4.6
 
 # Confusions of scanning, as read and as printed.
 SINGLE = "ce ec bh hb un nu if fi li il tl lt qg gq oc co ji ij 0o 1l 1i 5s 8b @a !i !l |l |i ſs sſ ao oa vy yv rt".split()
 SEVERAL = "rn>m m>rn cl>d d>cl li>h h>li vv>w w>vv ii>n ii>u in>m ni>m lc>k rl>d iii>m tl>d ri>n nn>m ll>u".split()
 
+#: Words that begin headings of parts, which are no running heads.
+PARTS = set("chapter section part book fig figure plate table appendix index contents preface".split())
+
 _STRIP = ".,;:!?()[]{}\"“”‘’'«»*_`~<>=…-–—\\/#$%&+"
 _LETTERS = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
@@ -56,8 +71,10 @@ _AROUND = re.compile(r"[-\w]*")
 _ROMAN = re.compile(r"(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})", re.I)
 _NUMBER = re.compile(r"(?:[·\[(|]|[-–—]{1,2})?\s*(?:page|p\.|pag\.|p)?\s*([0-9lOoIi|]{1,5}|[ivxlc]{1,8})\s*(?:[·\])|]|[-–—]{1,2})?", re.I)
 _LIGATURE = re.compile(r"[ſﬀ-ﬆ]")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_] ){3,}[^\W\d_](?!\S)")
 _MAY_CUT = re.compile(r"[-=~] ?\n|[¬­‐]")
+_SIGNS = re.compile(r"[^\w'’!|@-]+")
+_FRONTS = re.compile(r"[^\W\d_]+")
+SWAPS = sorted({(x[0], x[1]) for x in SINGLE} | {tuple(x.split(">")) for x in SEVERAL})
 _TAIL, _FRONT = re.compile(r"[^\W\d_]+$"), re.compile(r"[^\W\d_]+")
 _TITLE = "\x01"
 
@@ -85,13 +102,24 @@ def _head_words(text: str, stem: str) -> list[tuple[int, int, list[str]]]:
     return found
 
 
-def _stems(doc_id: str | None) -> list[str]:
-    name = re.split(r"[^A-Za-z]", doc_id or "", maxsplit=1)[0]
-    return [name.capitalize(), name.upper()] if len(name) > 2 else []
+def _stems(name: str | None) -> list[str]:
+    """Forms of the first word of the book's head."""
+    return [name.capitalize(), name.upper()] if name else []
+
+
+def edge_lines(text: str) -> set[str]:
+    """Lines at the edges of a text that may be heads, without numbers and signs."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    found = set()
+    for line in {*lines[:EDGE_LINES], *lines[-EDGE_LINES:]}:
+        own = [w for w in _WORD.findall(re.sub(r"\[[^\]]*\]", " ", line)) if not _ROMAN.fullmatch(w)]
+        if 2 <= len(own) <= 8 and own[0].lower() not in PARTS and len(line) <= 90 and len(own[0]) > 2 and sum(w[0].isupper() for w in own) * 2 > len(own):
+            found.add(" ".join(own).lower())
+    return found
 
 
-def _counted(raw: dict[str, list[int]], titles: dict[str, list[int]]) -> pa.RecordBatch:
-    counts = {t: list(n) for t, n in titles.items()}
+def _counted(raw: dict[str, list[int]], heads: dict[str, list[int]]) -> pa.RecordBatch:
+    counts = {t: list(n) for t, n in heads.items()}
     for r, n in raw.items():
         if (w := token(r)) is not None:
             c = counts.setdefault(w, [0, 0])
@@ -103,10 +131,10 @@ def _counted(raw: dict[str, list[int]], titles: dict[str, list[int]]) -> pa.Reco
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     once: Counter[str] = Counter()
     more: Counter[str] = Counter()  # what copies add
-    titles: dict[str, list[int]] = {}
+    heads: dict[str, list[int]] = {}
 
     def done() -> pa.RecordBatch:
-        return _counted({w: [n, n + more[w]] for w, n in once.items()}, titles)
+        return _counted({w: [n, n + more[w]] for w, n in once.items()}, heads)
 
     for batch in batches:
         for doc, text, copies in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -117,31 +145,49 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 if copies > 1:
                     for w, n in Counter(raws).items():
                         more[w] += n * (copies - 1)
-                for stem in _stems(doc):
-                    if stem in text:
-                        for _, _, words in _head_words(text, stem):
-                            for w in words:
-                                if len(w) > 3:
-                                    c = titles.setdefault(_TITLE + w.lower().strip(_STRIP), [0, 0])
-                                    c[0] += 1
-                                    c[1] += copies
-        if len(once) > 200_000:
+                if doc is not None:
+                    for line in (*edge_lines(text), ""):
+                        c = heads.setdefault(f"{_TITLE}{doc}{_TITLE}{line}", [0, 0])
+                        c[0] += 1
+                        c[1] += copies
+        if len(once) > 200_000 or len(heads) > 100_000:
             yield done()
             once.clear()
             more.clear()
-            titles.clear()
+            heads.clear()
     yield done()
 
 
 def count_words(rows: DataFrame) -> DataFrame:
-    """(token, n, n_rows) of (doc_id, text): over distinct texts of a book and over all rows."""
+    """(token, n, n_rows) of (doc_id, text): words, and edge lines under their book, over distinct texts of a book and over all rows."""
     texts = rows.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
     return texts.mapInArrow(_count_batches, "token string, n bigint, n_rows bigint").groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows"))
 
 
+def book_heads(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, head_word) of the books with a recurring head, and (token, n_title) of the words of heads but the first."""
+    lines = vocabulary.where(F.col("token").startswith(_TITLE)).select(F.split("token", _TITLE).alias("x"), "n")
+    lines = lines.select(F.col("x")[1].alias("doc_id"), F.col("x")[2].alias("line"), "n")
+    texts = lines.where("line = ''").select("doc_id", F.col("n").alias("texts"))
+    lines = lines.where("line <> ''").join(texts, "doc_id").where((F.col("n") >= 2) & (F.col("n") >= HEAD_SHARE * F.col("texts")))
+    best = lines.groupBy("doc_id").agg(F.max_by("line", F.struct("n", "line")).alias("line"), F.max("n").alias("n"))
+    words = best.select("n", F.explode(F.split("line", " ")).alias("token")).where("length(token) > 3")
+    first = best.select("doc_id", F.substring_index("line", " ", 1).alias("head_word"))
+    names = first.select(F.col("head_word").alias("token")).distinct()
+    return first, words.join(names, "token", "left_anti").groupBy("token").agg(F.sum("n").alias("n_title"))
+
+
+#: Prime that powers of code points are taken by, so that sums never overflow.
+PRIME = (1 << 31) - 1
+
+
+def _value(x: int) -> int:
+    return x**3 % PRIME * (x**2 % PRIME) % PRIME
+
+
 def _fifth(c: Column) -> Column:
     x = F.ascii(c).cast("bigint")
-    return x * x * x * x * x
+    return (x * x * x % PRIME) * (x * x % PRIME) % PRIME
 
 
 def _hash(token: Column) -> Column:
@@ -160,10 +206,12 @@ def _fewer(share: float) -> Column:
     return (F.col("n") <= share * F.col("n_word")) | ((F.col("n_rows") <= share * F.col("rows_word")) & (F.col("n") <= F.col("n_word")))
 
 
-def variants(vocabulary: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(token, correction, how) of rare words that are variants of frequent ones, the best ranked for each."""
-    rare = vocabulary.where(F.col("token").rlike(r"^[\x{21}-\x{24F}]{2,40}$") & ~F.col("token").rlike("^[ivxlc]+$")).withColumn("len", F.length("token")).withColumn("h", _hash(F.col("token")))
-    known = frequent.where(F.col("token").rlike(r"^[\x{21}-\x{24F}]{2,40}$")).select(F.col("token").alias("word"), F.col("n").alias("n_word"), F.col("n_rows").alias("rows_word")).withColumn("h_word", _hash(F.col("word")))
+def variants(vocabulary: DataFrame) -> DataFrame:
+    """(token, correction, how) of rare words that are variants of words so many times as frequent, the best ranked for each."""
+    rare = vocabulary.where(F.col("token").rlike(r"^\S{2,64}$") & ~F.col("token").rlike("^[ivxlc]+$")).withColumn("len", F.length("token")).withColumn("h", _hash(F.col("token")))
+    # A word has at least 1 / LIKELY times the rows of its variant, so rarer ones need not be joined.
+    words = vocabulary.where(F.col("token").rlike(r"^\p{L}+(?:[-'’]\p{L}+)*$") & (F.length("token") >= 2) & (F.col("n_rows") >= 1 / LIKELY))
+    known = words.select(F.col("token").alias("word"), F.col("n").alias("n_word"), F.col("n_rows").alias("rows_word")).withColumn("h_word", _hash(F.col("word")))
     letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
     # One letter for another at the same place: both hashes without that letter agree.
     a = rare.select("token", "n", "n_rows", "len", F.posexplode(letters(F.col("token"))).alias("at", "read"), "h").withColumn("key", F.col("h") - _fifth(F.col("read")))
@@ -173,38 +221,45 @@ def variants(vocabulary: DataFrame, frequent: DataFrame) -> DataFrame:
     same = (F.substring("token", F.lit(1), at) == F.substring("word", F.lit(1), at)) & (F.substring("token", at + 2, F.lit(LONGEST)) == F.substring("word", at + 2, F.lit(LONGEST)))
     likely = F.concat("read", "printed").isin(SINGLE)
     single = (
-        a.join(F.broadcast(b), (F.col("key") == F.col("key_b")) & (F.col("len") == F.col("len_b")) & (at == F.col("at_b")))
+        a.join(b, (F.col("key") == F.col("key_b")) & (F.col("len") == F.col("len_b")) & (at == F.col("at_b")))
         .where(same & (F.col("read") != F.col("printed")))
         .where((likely & _fewer(LIKELY)) | ((F.col("len") >= 5) & _fewer(ANY)) | ((F.col("len") >= 3) & _fewer(0.1 * ANY)))
         .select("token", "word", "n_word", F.when(likely, 0).otherwise(1).alias("rank"), F.lit("confusion").alias("how"))
     )
     # Several letters for others: the hash differs by a known amount.
     pairs = [x.split(">") for x in SEVERAL]
-    listed = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(sum(ord(c) ** 5 for c in y) - sum(ord(c) ** 5 for c in x)).cast("bigint").alias("d")) for x, y in pairs])
+    listed = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(sum(_value(ord(c)) for c in y) - sum(_value(ord(c)) for c in x)).cast("bigint").alias("d")) for x, y in pairs])
     c = rare.select("token", "n", "n_rows", "len", "h", F.explode(listed).alias("p")).where(F.instr(F.col("token"), F.col("p.x")) > 0)
     replaced = F.exists(
         F.sequence(F.lit(1), F.col("len")),
         lambda i: (F.substring("token", i, F.length("p.x")) == F.col("p.x")) & (F.concat(F.substring("token", F.lit(1), i - 1), F.col("p.y"), F.substring("token", i + F.length("p.x"), F.lit(LONGEST))) == F.col("word")),
     )
     several = (
-        c.join(F.broadcast(known), F.col("h") + F.col("p.d") == F.col("h_word"))
+        c.join(known, F.col("h") + F.col("p.d") == F.col("h_word"))
         .where(replaced & _fewer(LIKELY))
         .select("token", "word", "n_word", F.lit(0).alias("rank"), F.lit("confusion").alias("how"))
     )
     # A stray sign within a frequent word.
     bare = F.regexp_replace("token", r"[^\p{L}'’-]+", "")
     stray = (
-        rare.where(F.col("token").rlike(r"[^\p{L}'’0-9-]") & ~F.col("token").rlike(r"\p{L}[.,;:!?)]+\p{L}")).withColumn("bare", bare)
-        .join(F.broadcast(known), F.col("bare") == F.col("word"))
+        rare.where(F.col("token").rlike(r"[^\p{L}'’0-9-]")).withColumn("bare", bare)
+        .join(known, F.col("bare") == F.col("word"))
+        .where(_fewer(LIKELY))
         .select("token", "word", "n_word", F.lit(0).alias("rank"), F.lit("sign").alias("how"))
     )
     quoted = (
         rare.where(F.col("token").rlike(r"\p{L}['’-]\p{L}")).withColumn("bare", F.regexp_replace("token", r"['’-]", ""))
-        .join(F.broadcast(known), F.col("bare") == F.col("word"))
+        .join(known, F.col("bare") == F.col("word"))
         .where((F.length("bare") >= 3) & _fewer(ANY) & ~F.col("token").rlike(r"['’](?:s|t|d|m|ll|re|ve)$"))
         .select("token", "word", "n_word", F.lit(2).alias("rank"), F.lit("sign").alias("how"))
     )
-    # Two frequent words run together.
+    apart = single.unionByName(several).unionByName(stray).unionByName(quoted)
+    # A word that is itself a variant is no original.
+    apart = materialize(apart.groupBy("token", "word").agg(F.min(F.struct("rank", -F.col("n_word"), "how")).alias("b")), "scan-confused")
+    confused = apart.select(F.col("token").alias("word")).distinct()
+    apart = apart.join(confused, "word", "left_anti").select("token", "word", (-F.col("b.col2")).alias("n_word"), "b.rank", "b.how")
+    known = known.join(confused, "word", "left_anti")
+    # Two words run together.
     first = known.where("length(word) >= 2 OR word = 'a'").select(F.col("word").alias("w1"), F.col("n_word").alias("n1"), F.col("rows_word").alias("r1"))
     second = known.where("length(word) >= 2 OR word = 'a'").select(F.col("word").alias("w2"), F.col("n_word").alias("n2"), F.col("rows_word").alias("r2"))
     run = (
@@ -212,13 +267,13 @@ def variants(vocabulary: DataFrame, frequent: DataFrame) -> DataFrame:
         .select("token", "n", "n_rows", "len", F.explode(F.sequence(F.lit(1), F.col("len") - 1)).alias("cut"))
         .withColumn("w1", F.substring("token", F.lit(1), F.col("cut")))
         .withColumn("w2", F.substring("token", F.col("cut") + 1, F.lit(LONGEST)))
-        .join(F.broadcast(first), "w1")
-        .join(F.broadcast(second), "w2")
-        .where(((F.col("n") <= F.greatest(F.lit(2.0), TOGETHER * F.least("n1", "n2"))) | ((F.col("n_rows") <= TOGETHER * F.least("r1", "r2")) & (F.col("n") <= F.least("n1", "n2")))) & ((F.length("w1") > 1) | (F.length("w2") >= 4)) & ((F.length("w2") > 1) | (F.length("w1") >= 4)) & (F.length("token") >= 5))
+        .join(first, "w1")
+        .join(second, "w2")
+        .where(((F.col("n") <= TOGETHER * F.least("n1", "n2")) | ((F.col("n_rows") <= TOGETHER * F.least("r1", "r2")) & (F.col("n") <= F.least("n1", "n2")))) & ((F.length("w1") > 1) | (F.length("w2") >= 4)) & ((F.length("w2") > 1) | (F.length("w1") >= 4)) & (F.length("token") >= 5))
         .select("token", F.concat("w1", F.lit(" "), "w2").alias("word"), F.least("n1", "n2").alias("n_word"), F.lit(3).alias("rank"), F.lit("together").alias("how"))
     )
     return (
-        single.unionByName(several).unionByName(stray).unionByName(quoted).unionByName(run)
+        apart.unionByName(run)
         .groupBy("token")
         .agg(F.min_by(F.struct(F.col("word").alias("correction"), "how"), F.struct("rank", -F.col("n_word"), "word")).alias("best"))
         .select("token", "best.correction", "best.how")
@@ -228,13 +283,15 @@ def variants(vocabulary: DataFrame, frequent: DataFrame) -> DataFrame:
 class Reader:
     """Finds in one text what needs no count of the corpus beyond the lexicon."""
 
-    def __init__(self, frequent: set[str], titles: set[str]) -> None:
+    def __init__(self, frequent: dict[str, int], titles: set[str]) -> None:
         self.frequent, self.titles = frequent, titles
+        least = COMMON_SHARE * sum(frequent.values())
+        self.common = {w for w, n in frequent.items() if n >= least}
         self.known: dict[str, tuple[str | None, bool, bool]] = {}
         self.fine: set[str] = set()
 
     def words(self, raws: list[str]) -> tuple[list[str], set[str], int]:
-        """Rare words of a text, the tokens that are rare words or lone letters, and how many title words stand in capitals.
+        """Rare words of a text, the tokens that are no common word, and how many title words stand in capitals.
 
         Tokens seen before that are neither are taken off at once.
         """
@@ -248,14 +305,14 @@ class Reader:
             if k is None:
                 w = token(raw)
                 single = w is not None and len(w) == 1 and w not in "aio"
-                k = (w if w is not None and w not in self.frequent and not single else None, single, w in self.titles and raw[0].isupper())
+                k = (w if w is not None and w not in self.frequent and not single else None, single or (w is not None and len(w) > 1 and w not in self.common), w in self.titles and raw[0].isupper())
                 if k == (None, False, False):
                     fine.add(raw)
                     continue
                 known[raw] = k
             if k[0] is not None:
                 rare.add(k[0])
-            if k[0] is not None or k[1]:
+            if k[1]:
                 odd.add(raw)
             capitals += k[2]
         return list(rare), odd, capitals
@@ -276,45 +333,87 @@ class Reader:
             found.append((left.start(), right.end(), a + b, f"{a}-{b}"))
         return found
 
+    def _whole(self, parts: list[str]) -> list[str] | None:
+        """The words that fragments divided by blanks make up: one word, or two divided at another place."""
+        n = [self.frequent.get(p, 0) if len(p) > 1 or p in "aio" else 0 for p in parts]
+        joined = "".join(parts)
+        whole = self.frequent.get(joined, 0)
+        if whole and len(joined) >= 3 and TORN_TIMES * min(n) <= whole:
+            return [joined]
+        if len(parts) == 2:
+            for cut in range(max(1, len(parts[0]) - 3), min(len(joined), len(parts[0]) + 4)):
+                a, b = joined[:cut], joined[cut:]
+                if cut != len(parts[0]) and all(len(x) > 1 or x in "aio" for x in (a, b)) and len(joined) >= 5 and min(self.frequent.get(a, 0), self.frequent.get(b, 0)) >= max(1, TORN_TIMES * min(n)) and max(len(a), len(b)) >= 3:
+                    if min(n) == 0 or TORN_TIMES * max(n) <= max(self.frequent[a], self.frequent[b]):
+                        return [a, b]
+        return None
+
     def torn(self, text: str) -> list[tuple[int, int, str]]:
-        """Words torn apart by blanks: (start, end, joined)."""
-        found = [(m.start(), m.end(), m.group().replace(" ", "")) for m in _SPACED.finditer(text)]
-        words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]+", text)]
-        for (s0, e0, a), (s1, e1, b) in zip(words, words[1:]):
-            if s1 - e0 == 1 and text[e0] == " " and a + b in self.frequent and len(a) + len(b) >= 3:
-                odd = (len(a) == 1 and a not in "aio") or (len(b) == 1 and b not in "aio") or a not in self.frequent or b not in self.frequent
-                if odd:
-                    found.append((s0, e1, text[s0:e0] + text[s1:e1]))
+        """Words torn apart by blanks, or divided at the wrong place: (start, end, words)."""
+        found = []
+        words = [(m.start(), m.end(), m.group().lower()) for m in _FRONTS.finditer(text)]
+        i = 0
+        while i < len(words):
+            j = i
+            while j + 1 < len(words) and j - i + 1 < FRAGMENTS and words[j + 1][0] - words[j][1] == 1 and text[words[j][1]] in " \n":
+                j += 1
+            for k in range(j, i, -1):
+                own = [w for _, _, w in words[i : k + 1]]
+                if k > i + 1 and sum(map(len, own)) > 24:
+                    continue
+                if all(w in self.common and len(w) > 1 for w in own):
+                    continue
+                whole = self._whole(own)
+                if whole is not None:
+                    s, e = words[i][0], words[k][1]
+                    plain_ = "".join(text[a:b] for a, b, _ in words[i : k + 1])
+                    found.append((s, e, plain_ if len(whole) == 1 else f"{plain_[: len(whole[0])]} {plain_[len(whole[0]) :]}"))
+                    i = k
+                    break
+            i += 1
         return found
 
     def any_torn(self, raws: list[str], odd: set[str]) -> bool:
-        """Whether ``torn`` finds anything, looked for beside rare words and lone letters only."""
-        frequent = self.frequent
+        """Whether ``torn`` finds anything, looked for beside uncommon words and lone letters only."""
         for i, raw in enumerate(raws):
-            if raw in odd:
-                if self.known[raw][1] and i + 3 < len(raws) and all(len(x) == 1 and x.isalpha() for x in raws[i + 1 : i + 4]):
-                    return True
-                for a, b in ((raws[i - 1], raw) if i else ("", ""), (raw, raws[i + 1]) if i + 1 < len(raws) else ("", "")):
-                    if a and b and a[-1].isalpha() and b[0].isalpha():
-                        left, right = _TAIL.search(a).group().lower(), _FRONT.match(b).group().lower()
-                        if left + right in frequent and len(left) + len(right) >= 3:
-                            return True
+            if raw in odd and self.torn(" ".join(raws[max(0, i - FRAGMENTS + 1) : i + FRAGMENTS])):
+                return True
         return False
 
+    def near(self, word: str) -> str:
+        """A word that was put together, or the word of the lexicon a confusion away from it."""
+        w = word.lower()
+        if w in self.frequent or len(w) < 4:
+            return word
+        forms = {w[: m.start()] + y + w[m.end() :] for x, y in SWAPS for m in re.finditer(re.escape(x), w)}
+        if len(w) >= 7:
+            forms |= {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in "abcdefghijklmnopqrstuvwxyz"}
+        best = max(((self.frequent[f], f) for f in forms if f in self.frequent), default=None)
+        return word if best is None else best[1] if word.islower() else best[1].capitalize() if word[1:].islower() else best[1].upper()
+
     def numbers(self, lines: list[str]) -> list[int]:
-        """Lines that are a page number."""
-        found = []
-        for i, line in enumerate(lines):
-            s = line.strip()
-            if 0 < len(s) <= 12 and (m := _NUMBER.fullmatch(s)):
+        """Lines that are a page number: at the edges of the text, or alone between the end of one sentence and the beginning of another."""
+        solid = [i for i, x in enumerate(lines) if x.strip()]
+        at = {}
+        for k, i in enumerate(solid):
+            s = lines[i].strip()
+            if len(s) <= 12 and (m := _NUMBER.fullmatch(s)):
                 core = m.group(1)
                 if any(c.isdigit() for c in core) or (len(core) > 1 and not core.strip("lI|O")) or (core.islower() or core.isupper()) and _ROMAN.fullmatch(core) and core.lower() not in ("c", "l"):
-                    found.append(i)
+                    at[k] = s != core
+        found = []
+        for k, dressed in at.items():
+            if k < EDGE_LINES or k >= len(solid) - EDGE_LINES:
+                found.append(solid[k])
+            elif k - 1 not in at and k + 1 not in at:
+                above, below = lines[solid[k - 1]].strip(), lines[solid[k + 1]].strip()
+                if dressed or (above[-1:] in ".?!\"”’)" and below[:1].isupper() and min(len(above), len(below)) > 3):
+                    found.append(solid[k])
         return found
 
-    def heads(self, text: str, doc_id: str | None, capitals: int = 2) -> list[tuple[int, int]]:
+    def heads(self, text: str, head_word: str | None, capitals: int = 2) -> list[tuple[int, int]]:
         """Running heads; fewer than two title words in capitals make none without the name of the book."""
-        found = [(s, e) for stem in _stems(doc_id) if stem in text for s, e, words in _head_words(text, stem) if any(w.lower().strip(_STRIP) in self.titles for w in words)]
+        found = [(s, e) for stem in _stems(head_word) if stem in text for s, e, words in _head_words(text, stem) if any(w.lower().strip(_STRIP) in self.titles for w in words)]
         if not found and capitals > 1:
             for m in re.finditer(r"(?:[A-Z][\w|!@'’]+\s+){2,7}[A-Z][\w|!@'’]+", text):
                 words = [w.lower() for w in m.group().split()]
@@ -322,7 +421,7 @@ class Reader:
                     found.append(m.span())
         return found
 
-    def read(self, text: str, doc_id: str | None) -> tuple[bool, list[str]]:
+    def read(self, text: str, head_word: str | None) -> tuple[bool, list[str]]:
         """Whether noise is sure, and the rare words that may be noise."""
         text = plain(text)
         raws = split(text)
@@ -331,7 +430,7 @@ class Reader:
             bool(_LIGATURE.search(text))
             or bool(_MAY_CUT.search(text) and self.cuts(text))
             or bool(self.numbers(text.split("\n")))
-            or bool(self.heads(text, doc_id, capitals))
+            or bool(self.heads(text, head_word, capitals))
             or bool(odd and self.any_torn(raws, odd))
         )
         return sure, rare
@@ -346,23 +445,76 @@ def _read_batches(batches: Iterator[pa.RecordBatch], reader: Reader) -> Iterator
         )
 
 
-def _fitted(rows: DataFrame) -> tuple[Reader, DataFrame]:
-    """Reader with the lexicon, and the variants of the rare words."""
+def _two_errors(batches: Iterator[pa.RecordBatch], lexicon_: dict[str, int], usual: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """(token, correction, how) of tokens that two errors explain: confusions in one word, or on the sides of a place where two words ran together.
+
+    In tokens shorter than ``LONG_TOKEN`` only ``usual`` variants of the corpus count as confusions, for many names are a few letters off two short words.
+    """
+    @lru_cache(50_000)
+    def one(w: str, long: bool) -> tuple[tuple[str, int], ...]:
+        """Words a confusion away, and the word itself, with the confusions needed."""
+        found = {w: 0} if w in lexicon_ else {usual[w]: 1} if usual.get(w) in lexicon_ else {}
+        for x, y in SWAPS if long else ():
+            i = w.find(x)
+            while i >= 0:
+                v = w[:i] + y + w[i + len(x) :]
+                if v in lexicon_:
+                    found.setdefault(v, 1)
+                i = w.find(x, i + 1)
+        return tuple(found.items())
+
+    def best(w: str, n: int) -> str | None:
+        found: list[tuple[int, int, str]] = []
+        for x, y in SWAPS:
+            i = w.find(x)
+            while i >= 0:
+                for v, k in one(w[:i] + y + w[i + len(x) :], True):
+                    if k == 1 and len(v) >= 5:
+                        found.append((1, -lexicon_[v], v))
+                i = w.find(x, i + 1)
+        bare = _SIGNS.sub("", w)
+        for cut in range(1, len(bare)):
+            left = one(bare[:cut], len(bare) >= LONG_TOKEN)
+            for a, i in left:
+                for b, j in one(bare[cut:], len(bare) >= LONG_TOKEN) if left else ():
+                    k = i + j + (bare != w)
+                    if 1 <= k <= 2 and len(a) + len(b) >= 5 and all(len(x) > 1 or x in "ai" for x in (a, b)) and (i + j == 0 or min(len(a), len(b)) >= 2):
+                        found.append((1 + k, -min(lexicon_[a], lexicon_[b]), f"{a} {b}"))
+        found = [f for f in found if n <= TOGETHER * 5 * -f[1]]
+        return min(found)[2] if found else None
+
+    for batch in batches:
+        tokens = batch.column(0).to_pylist()
+        done = [(t, c) for t, n in zip(tokens, batch.column(1).to_pylist()) if (c := best(t, n)) is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in done], pa.string()), pa.array([c for _, c in done], pa.string()), pa.array(["two"] * len(done), pa.string())], ["token", "correction", "how"])
+
+
+def _fitted(rows: DataFrame) -> tuple[Reader, DataFrame, DataFrame]:
+    """Reader with the lexicon, the variants of the rare words, and the first word of the head of each book."""
     vocabulary = materialize(count_words(rows), "scan-words")
-    frequent, _ = lexicon(vocabulary)
-    bad = materialize(variants(vocabulary.where(~F.col("token").startswith(_TITLE)), frequent), "scan-variants")
-    good = frequent.join(bad, "token", "left_anti").where(~F.col("token").rlike(r"^(?:[^aio]|(\p{L})\1+)$"))
-    titles = vocabulary.where(F.col("token").startswith(_TITLE) & (F.col("n_rows") >= 3)).select(F.substring("token", F.lit(2), F.lit(LONGEST)).alias("token"), F.col("n").alias("n_once"), F.col("n_rows").alias("n_title"))
-    titles = titles.join(vocabulary, "token").where("n_title >= 0.3 * n_rows OR n_once >= 3 AND n_once >= 0.3 * n").orderBy(F.desc("n_title"), "token").limit(2_000)
-    names = {r["token"] for r in titles.select("token").collect()}  # words of book titles, 2,000 at most
-    return Reader({r["token"] for r in good.select("token").collect()}, names), bad  # 1 / LEXICON_SHARE words at most
+    words = vocabulary.where(~F.col("token").startswith(_TITLE))
+    frequent, total = lexicon(vocabulary)
+    bad = materialize(variants(words), "scan-variants")
+    letters = ~F.col("token").rlike(r"^(?:[^aio]|(\p{L})\1+)$")
+    known = {r["token"]: r["n"] for r in frequent.join(bad, "token", "left_anti").where(letters).select("token", "n").collect()}  # 1 / LEXICON_SHARE words at most
+    usual = {r["token"]: r["correction"] for r in words.where(F.col("n") >= LEXICON_SHARE * total).join(bad.where("how = 'confusion'"), "token").select("token", "correction").collect()}  # so many, too
+    odd = words.where(F.length("token").between(5, 40) & (F.col("n") < COMMON_SHARE * total)).join(bad, "token", "left_anti")
+    more = materialize(odd.select("token", "n").mapInArrow(lambda b: _two_errors(b, known, usual), "token string, correction string, how string"), "scan-two-errors")
+    for r in more.join(frequent, "token", "left_semi").select("token").collect():  # some of the lexicon
+        known.pop(r["token"], None)
+    head_words, titles = book_heads(vocabulary)
+    # Title words that mostly stand in heads; rarer than in one head of a thousand they tell nothing outside their own book.
+    titles = titles.crossJoin(F.broadcast(titles.agg(F.sum("n_title").alias("all_titles")))).where("n_title >= 0.001 * all_titles").join(vocabulary, "token").where("n_title >= 0.3 * n")
+    names = {r["token"] for r in titles.select("token").collect()}  # 1,000 at most
+    return Reader(known, names), bad.unionByName(more), materialize(head_words, "scan-heads")
 
 
 def find_noise(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` of the rows of (``keys``, doc_id, text) that hold noise of scanning."""
-    reader, bad = _fitted(rows)
+    reader, bad, head_words = _fitted(rows)
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    read = materialize(rows.select(*keys, "doc_id", "text").mapInArrow(lambda b: _read_batches(b, reader), f"{kinds}, sure boolean, rare array<string>"), "scan-read")
+    own = rows.select(*keys, "doc_id", "text").join(head_words, "doc_id", "left").select(*keys, "head_word", "text")
+    read = materialize(own.mapInArrow(lambda b: _read_batches(b, reader), f"{kinds}, sure boolean, rare array<string>"), "scan-read")
     noisy = _in_company(read, bad, keys)
     return read.where("sure").select(*keys).unionByName(noisy.select(*keys)).distinct()
 
@@ -370,19 +522,25 @@ def find_noise(rows: DataFrame, keys: list[str]) -> DataFrame:
 def _in_company(read: DataFrame, bad: DataFrame, keys: list[str]) -> DataFrame:
     """(``keys``, token, correction) of the noise words of each row.
 
-    Noise seldom comes alone. A variant that stands in three rows or more, most of which
-    show no other noise, is a word in its own right and is left out.
+    Noise seldom comes alone. A variant whose rows show other noise so much more seldom than
+    those of all variants that chance does not explain it is a word in its own right and is
+    left out. Where noise is light throughout, nothing is left out.
     """
     hits = materialize(read.select(*keys, "sure", F.explode("rare").alias("token")).join(bad, "token"), "scan-hits")
-    each = hits.withColumn("others", F.count("*").over(Window.partitionBy(*keys)) - 1)
-    own = each.groupBy("token").agg(F.count("*").alias("rows"), F.avg((F.col("sure") | (F.col("others") > 0)).cast("int")).alias("company")).where(f"rows >= 3 AND company < {COMPANY}")
-    return hits.join(own.select("token"), "token", "left_anti").select(*keys, "token", "correction")
+    each = hits.withColumn("other", (F.col("sure") | (F.count("*").over(Window.partitionBy(*keys)) > 1)).cast("int"))
+    share = materialize(each.groupBy("token").agg(F.count("*").alias("r"), F.sum("other").alias("c")), "scan-company")
+    q = share.agg((F.sum("c") / F.sum("r")).alias("q"))
+    p = F.col("c") / F.col("r")
+    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+    evidence = F.col("r") * (part(p, F.col("q")) + part(1 - p, 1 - F.col("q")))
+    own = share.crossJoin(F.broadcast(q)).where((p < F.col("q")) & (F.col("q") < 1) & (evidence > OWN_EVIDENCE)).select("token")
+    return hits.join(own, "token", "left_anti").select(*keys, "token", "correction")
 
 
-def _repair_text(text: str, doc_id: str | None, reader: Reader, fixes: dict[str, str]) -> str:
+def _repair_text(text: str, head_word: str | None, reader: Reader, fixes: dict[str, str]) -> str:
     """Continuous paragraphs: page numbers and heads out, cuts and torn words joined, rare words corrected, lines unwrapped."""
     text = plain(text)
-    for s, e in sorted(reader.heads(text, doc_id), reverse=True):
+    for s, e in sorted(reader.heads(text, head_word), reverse=True):
         near = re.compile(r"[ \t]*(?:\d{1,4}|[ivxlc]+)?[ \t]*$", re.I).search(text[:s])
         after = re.compile(r"[.]?[ \t]*(?:\[[IVXLC]+\.?\])?[ \t]*(?:—[ \t]*)?(?:\d{1,4})?").match(text[e:])
         text = text[: near.start()] + " " + text[e + after.end() :]
@@ -390,7 +548,7 @@ def _repair_text(text: str, doc_id: str | None, reader: Reader, fixes: dict[str,
     drop = set(reader.numbers(lines))
     text = "\n".join(x for i, x in enumerate(lines) if i not in drop)
     for s, e, joined, _ in sorted(reader.cuts(text), reverse=True):
-        text = text[:s] + joined + text[e:]
+        text = text[:s] + reader.near(joined) + text[e:]
     text = re.sub(r"(\w)-[ \t]?\n[ \t]*(?=\w)", r"\1-", text)  # a compound broken at its own hyphen
     text = re.sub(r"(?<!\S)[·^°¬|]+(?=[^\W\d_])", "", text)
     for s, e, joined in sorted(reader.torn(text), reverse=True):
@@ -409,6 +567,7 @@ def _repair_text(text: str, doc_id: str | None, reader: Reader, fixes: dict[str,
         return word.replace(core, to, 1)
 
     text = re.sub(r"\S+", fix, text)
+    text = re.sub(r"(?<=\w) (?=[.,;:?!](?:\s|$))", "", text)
     paragraphs = [re.sub(r"[ \t]*\n[ \t]*", " ", p).strip() for p in re.split(r"\n[ \t]*\n+", text)]
     return "\n\n".join(re.sub(r"[ \t]{2,}", " ", p) for p in paragraphs if p)
 
@@ -422,9 +581,9 @@ def _repair_batches(batches: Iterator[pa.RecordBatch], reader: Reader) -> Iterat
 
 def repair(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and clean_text of every row of (``keys``, doc_id, text); ``keys`` must be unique."""
-    reader, bad = _fitted(rows)
+    reader, bad, head_words = _fitted(rows)
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    own = rows.select(*keys, "doc_id", "text")
+    own = rows.select(*keys, "doc_id", "text").join(head_words, "doc_id", "left").select(*keys, "head_word", "text")
     read = own.mapInArrow(lambda b: _read_batches(b, reader), f"{kinds}, sure boolean, rare array<string>")
     fixes = _in_company(read, bad, keys).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "correction"))).alias("fixes"))
     return own.join(fixes, keys, "left").mapInArrow(lambda b: _repair_batches(b, reader), f"{kinds}, clean_text string")

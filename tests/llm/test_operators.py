@@ -101,12 +101,30 @@ def test_scan_noise(spark):
 
 
 def test_hyphen_evidence():
-    reader = scan.Reader({"understood", "well", "known", "well-known"}, set())
+    reader = scan.Reader({"understood": 900, "well": 900, "known": 900, "well-known": 90}, set())
     assert [c[2] for c in reader.cuts("under-\nstood")] == ["understood"]
     assert reader.cuts("well-\nknown") == []
-    assert reader.numbers(["12", "· 4 ·", "xii", "Page 3", "the", "c", "1. one"]) == [0, 1, 2, 3]
+    assert reader.numbers(["12", "· 4 ·", "The text ends.", "c", "1. one", "xii", "Page 3"]) == [0, 1, 5, 6]
+    assert reader.numbers(["A line of prose.", "One more line here.", "41", "The next page begins", "and goes on.", "The end."]) == [2]
+    years = ["Head of a page.", "The list of years was", "1887", "1890", "read in the order", "of the book, and then", "1895", "as before, and so on.", "Last line."]
+    assert reader.numbers(years) == []
 
 
+def test_torn_words():
+    reader = scan.Reader({"heart": 900, "such": 900, "an": 900, "a": 900, "fresh": 900, "lines": 900, "in": 900, "to": 900, "into": 900, "li": 3, "attended": 900}, set())
+    joined = lambda t: [x for _, _, x in reader.torn(t)]
+    assert joined("the external h\ne a r t may") == ["heart"] and joined("suc han") == ["such an"] and joined("af resh") == ["a fresh"]
+    assert joined("it li nes") == ["lines"] and joined("in to such a heart") == [] and reader.near("attendjd") == "attended"
+
+
+def test_two_errors(spark):
+    known = {"convulsive": 900, "eruption": 900, "habitual": 900, "and": 900, "of": 900, "the": 900, "lines": 900}
+    import pyarrow as pa
+
+    words = ["convuls!veeruption", "habitua1@nd", "o·fthe", "oithe", "ljnesthe", "umbrelore", "ofhhe"]
+    got = {r["token"]: r["correction"] for b in scan._two_errors(iter([pa.record_batch({"token": words, "n": [1] * len(words)})]), known, {"oi": "of"}) for r in b.to_pylist()}
+    assert got == {"convuls!veeruption": "convulsive eruption", "habitua1@nd": "habitual and", "o·fthe": "of the", "oithe": "of the", "ljnesthe": "lines the"}
+
 # Quality
 
 
