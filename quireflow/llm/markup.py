@@ -84,8 +84,8 @@ _ESCAPE = r"&lt;(?:/?[A-Za-z][A-Za-z0-9]{0,10}(?:\s[^<>]*?)?/?|!--.*?--)&gt;"
 _ESCAPED = re.compile(_ESCAPE.replace("(?:", "(", 1), re.S)
 #: The parser's own patterns as the JVM reads them: rows without a match hold no markup and never reach Python.
 MAY_HOLD = "(?smdU)" + f"{_TOKEN}|{_ESCAPE}".replace("(?P<", "(?<").replace("(?P=eq)", r"\k<eq>").replace("(?P=sm)", r"\k<sm>")
-#: Signs one of which every match holds: a quick test before the parser.
-QUICK = re.compile(r"[<&`\\*_~\[{#=>$|]|''|-{4}")
+#: What every match of the parser holds: a quick test before it.
+QUICK = re.compile(r"<[A-Za-z/!]|&(?:#|[A-Za-z])|[`\\]|\*\S|_\S|~~|\[\[|\]\(|\{[{|]|\[http|''|-{3}|\$\S|^[ \t]*(?:[#=>]|\|[-}+])", re.M)
 _PUNCT = re.compile(r"[.,;:!?]")
 #: Unknown commands without an argument are left alone unless they are among these fixed names of LaTeX.
 _SWITCHES = {"it", "bf", "em", "rm", "sc", "tt", "sl", "item", "par", "noindent", "newpage", "clearpage", "hline", "ldots", "dots", "textdegree", "centering", "large", "small", "maketitle", "tableofcontents", "today", "quad", "qquad", "newline", "linebreak", "pagebreak", "bigskip", "medskip", "smallskip", "toprule", "midrule", "bottomrule", "S", "P", "dag", "ddag", "pounds", "copyright", "frac", "times", "cdot", "leq", "geq", "alpha", "beta", "gamma", "delta", "lambda", "mu", "pi", "sum", "sqrt", "left", "right"}

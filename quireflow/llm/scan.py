@@ -29,7 +29,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -50,7 +49,7 @@ CACHE_TOKENS = 200_000
 #: Length from which any listed confusion may stand beside a second error.
 LONG_TOKEN = 8
 #: How many times as often as its rarest fragment a word must stand to be put together, and fragments at most.
-TORN_TIMES, FRAGMENTS = 50, 8
+TORN_TIMES, FRAGMENTS = 50, 16
 #: Share of all words from which a word is common, so that nothing is looked for beside it.
 COMMON_SHARE = 1e-4
 #: Evidence (as a logarithm of odds) that a variant stands by itself more often than noise does, from which it is a word of its own.
@@ -107,14 +106,34 @@ def _stems(name: str | None) -> list[str]:
     return [name.capitalize(), name.upper()] if name else []
 
 
+def edges(text: str) -> set[str]:
+    """The first and last ``EDGE_LINES`` lines that are not blank."""
+    found, start, end = set(), 0, len(text)
+    for _ in range(EDGE_LINES):
+        while start < end:
+            cut = text.find("\n", start, end)
+            line, start = (text[start:cut], cut + 1) if cut >= 0 else (text[start:end], end)
+            if line.strip():
+                found.add(line)
+                break
+    for _ in range(EDGE_LINES):
+        while start < end:
+            cut = text.rfind("\n", start, end)
+            line, end = text[cut + 1 if cut >= 0 else start : end], cut if cut >= 0 else start
+            if line.strip():
+                found.add(line)
+                break
+    return found
+
+
 def edge_lines(text: str) -> set[str]:
     """Lines at the edges of a text that may be heads, without numbers and signs."""
-    lines = [x for x in text.split("\n") if x.strip()]
     found = set()
-    for line in {*lines[:EDGE_LINES], *lines[-EDGE_LINES:]}:
-        own = [w for w in _WORD.findall(re.sub(r"\[[^\]]*\]", " ", line)) if not _ROMAN.fullmatch(w)]
-        if 2 <= len(own) <= 8 and own[0].lower() not in PARTS and len(line) <= 90 and len(own[0]) > 2 and sum(w[0].isupper() for w in own) * 2 > len(own):
-            found.add(" ".join(own).lower())
+    for line in edges(text):
+        if len(line) <= 90:
+            own = [w for w in _WORD.findall(re.sub(r"\[[^\]]*\]", " ", line)) if not _ROMAN.fullmatch(w)]
+            if 2 <= len(own) <= 8 and own[0].lower() not in PARTS and len(own[0]) > 2 and sum(w[0].isupper() for w in own) * 2 > len(own):
+                found.add(" ".join(own).lower())
     return found
 
 
@@ -289,6 +308,7 @@ class Reader:
         self.common = {w for w, n in frequent.items() if n >= least}
         self.known: dict[str, tuple[str | None, bool, bool]] = {}
         self.fine: set[str] = set()
+        self.ends: dict[str, tuple[str, str, bool]] = {}
 
     def words(self, raws: list[str]) -> tuple[list[str], set[str], int]:
         """Rare words of a text, the tokens that are no common word, and how many title words stand in capitals.
@@ -373,11 +393,35 @@ class Reader:
             i += 1
         return found
 
+    def _ends(self, raw: str) -> tuple[str, str, bool]:
+        """Letters that a token begins and ends with, and whether it is a lone letter; remembered."""
+        e = self.ends.get(raw)
+        if e is None:
+            if len(self.ends) > CACHE_TOKENS:
+                self.ends.clear()
+            front, tail = _FRONT.match(raw), _TAIL.search(raw)
+            e = self.ends[raw] = (front.group().lower() if front else "", tail.group().lower() if tail else "", len(raw) == 1 and raw.isalpha())
+        return e
+
+    def _maybe(self, a: str, b: str) -> bool:
+        """Whether two neighbours may make up other words."""
+        joined, frequent = a + b, self.frequent
+        if not a or not b:
+            return False
+        if joined in frequent:
+            return True
+        return any(joined[:c] in frequent and joined[c:] in frequent for c in range(max(1, len(a) - 3), min(len(joined), len(a) + 4)) if c != len(a)) if len(joined) >= 5 else False
+
     def any_torn(self, raws: list[str], odd: set[str]) -> bool:
         """Whether ``torn`` finds anything, looked for beside uncommon words and lone letters only."""
+        n = len(raws)
         for i, raw in enumerate(raws):
-            if raw in odd and self.torn(" ".join(raws[max(0, i - FRAGMENTS + 1) : i + FRAGMENTS])):
-                return True
+            if raw in odd:
+                front, tail, lone = self._ends(raw)
+                before, after = self._ends(raws[i - 1])[1] if i else "", self._ends(raws[i + 1])[0] if i + 1 < n else ""
+                if self._maybe(before, front) or self._maybe(tail, after) or (before and after and front == raw.lower() and before + front + after in self.frequent) or (lone and i + 1 < n and self._ends(raws[i + 1])[2]):
+                    if self.torn(" ".join(raws[max(0, i - 3 if not lone else i - FRAGMENTS) : i + (4 if not lone else FRAGMENTS)])):
+                        return True
         return False
 
     def near(self, word: str) -> str:
@@ -385,7 +429,7 @@ class Reader:
         w = word.lower()
         if w in self.frequent or len(w) < 4:
             return word
-        forms = {w[: m.start()] + y + w[m.end() :] for x, y in SWAPS for m in re.finditer(re.escape(x), w)}
+        forms = set(swapped(w))
         if len(w) >= 7:
             forms |= {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in "abcdefghijklmnopqrstuvwxyz"}
         best = max(((self.frequent[f], f) for f in forms if f in self.frequent), default=None)
@@ -445,33 +489,48 @@ def _read_batches(batches: Iterator[pa.RecordBatch], reader: Reader) -> Iterator
         )
 
 
+_BY_FIRST: dict[str, list[tuple[str, str]]] = {}
+for _x, _y in SWAPS:
+    _BY_FIRST.setdefault(_x[0], []).append((_x, _y))
+
+
+def swapped(w: str) -> list[str]:
+    """A word with each of the listed confusions taken back, at each of its places."""
+    return [w[:i] + y + w[i + len(x) :] for i, c in enumerate(w) for x, y in _BY_FIRST.get(c, ()) if w.startswith(x, i)]
+
+
+def misread(w: str) -> list[str]:
+    """What a word may be read as, by one of the listed confusions."""
+    return [w[:i] + x + w[i + len(y) :] for x, y in SWAPS for i in range(len(w) - len(y) + 1) if w.startswith(y, i)]
+
+
 def _two_errors(batches: Iterator[pa.RecordBatch], lexicon_: dict[str, int], usual: dict[str, str]) -> Iterator[pa.RecordBatch]:
     """(token, correction, how) of tokens that two errors explain: confusions in one word, or on the sides of a place where two words ran together.
 
     In tokens shorter than ``LONG_TOKEN`` only ``usual`` variants of the corpus count as confusions, for many names are a few letters off two short words.
     """
-    @lru_cache(50_000)
+    # What common words (10,000 at most) may be read as, by one confusion.
+    least = COMMON_SHARE * sum(lexicon_.values())
+    forms: dict[str, str] = {}
+    for v in sorted((v for v, n in lexicon_.items() if n >= least), key=lexicon_.get):
+        for form in misread(v):
+            forms[form] = v
+
     def one(w: str, long: bool) -> tuple[tuple[str, int], ...]:
-        """Words a confusion away, and the word itself, with the confusions needed."""
-        found = {w: 0} if w in lexicon_ else {usual[w]: 1} if usual.get(w) in lexicon_ else {}
-        for x, y in SWAPS if long else ():
-            i = w.find(x)
-            while i >= 0:
-                v = w[:i] + y + w[i + len(x) :]
-                if v in lexicon_:
-                    found.setdefault(v, 1)
-                i = w.find(x, i + 1)
-        return tuple(found.items())
+        """Words a confusion away, or the word itself, with the confusions needed."""
+        if w in lexicon_:
+            return ((w, 0),)
+        v = usual.get(w)
+        if v is None or v not in lexicon_:
+            v = forms.get(w) if long else None
+        return () if v is None else ((v, 1),)
 
     def best(w: str, n: int) -> str | None:
         found: list[tuple[int, int, str]] = []
-        for x, y in SWAPS:
-            i = w.find(x)
-            while i >= 0:
-                for v, k in one(w[:i] + y + w[i + len(x) :], True):
-                    if k == 1 and len(v) >= 5:
-                        found.append((1, -lexicon_[v], v))
-                i = w.find(x, i + 1)
+        for form in swapped(w) if len(w) >= 6 else ():
+            for v, k in one(form, True):
+                if k == 1 and len(v) >= 5:
+                    found.append((1, -lexicon_[v], v))
         bare = _SIGNS.sub("", w)
         for cut in range(1, len(bare)):
             left = one(bare[:cut], len(bare) >= LONG_TOKEN)

@@ -79,8 +79,8 @@ def noisy_table(spark):
         (101, "lantern-1", PROSE.replace("understood", "under-\nstood")),
         (102, "lantern-1", "12\n" + PROSE),
         (103, "lantern-1", "LANTERN HOUSEHOLD PHYSICIAN\n" + PROSE),
-        (104, "lantern-1", "LANTERN HOUSEHOLD PHYSICIAN\n" + PROSE),
-        (105, "lantern-1", "LANTERN HOUSEHOLD PHYSICIAN\n" + PROSE),
+        (104, "lantern-1", "LANTERN HOUSEHOLD PHYSICIAN\n" + PROSE * 2),
+        (105, "lantern-1", "12 Lantern Household Physician.\n" + PROSE * 3),
         (106, "lantern-1", PROSE.replace("kidneys", "kid neys")),
         (107, "lantern-1", None),
         (108, None, ""),
