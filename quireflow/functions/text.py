@@ -86,9 +86,9 @@ def historical(c: Column | str) -> Column:
     out = F.translate(nfkc(c), "ſ‘’“”–—", "s''\"\"--")
     for sign, letters in (("æ", "ae"), ("œ", "oe"), ("Æ", "AE"), ("Œ", "OE")):
         out = F.replace(out, F.lit(sign), F.lit(letters))
-    out = F.regexp_replace(out, r"(\p{L})-\n(\p{Ll})", "$1$2")
+    out = F.regexp_replace(out, r"(\p{L})[-\x{AD}]\n[ \t]*(\p{Ll})", "$1$2")
     out = F.regexp_replace(out, r"(?<!\n)\n(?!\n)", " ")
-    return F.btrim(F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"[ \t]+", " "))
+    return F.btrim(F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"[ \t]+", " "), F.lit(" \t\r\n\f"))
 
 
 def drop_grounding(c: Column | str) -> Column:
@@ -157,3 +157,33 @@ def redact(c: Column | str) -> Column:
     for kind, pattern in PERSONAL.items():
         out = F.regexp_replace(out, pattern, f"[{kind}]")
     return out
+
+
+@F.pandas_udf(StringType())
+def category_form(s: pd.Series) -> pd.Series:
+    """Letters and digits of any script after compatibility composition and casefolding, other signs to blanks; entities and tags stay as text. Arrow."""
+
+    def one(t: str) -> str:
+        t = unicodedata.normalize("NFKC", t).casefold()
+        return " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in t).split())
+
+    return s.map(one, na_action="ignore")
+
+
+#: Parts of names of block types that are figures.
+FIGURE_HINTS = ("figure", "image", "chart", "picture", "graphic")
+
+
+def is_figure(kind: Column | str) -> Column:
+    """Whether the type of a block names a figure."""
+    return F.coalesce(F.lower(kind).rlike("|".join(FIGURE_HINTS)), F.lit(False))
+
+
+def label_number(label: Column | str) -> Column:
+    """Number that is the last word of a label, if it is one."""
+    return F.element_at(F.split(F.btrim(label), r"\s+"), -1).try_cast("int")
+
+
+def string_list(values: Column | str) -> Column:
+    """Strings with white space collapsed, empty and null ones left out."""
+    return F.filter(F.transform(values, squeeze), lambda x: x.isNotNull() & (x != ""))

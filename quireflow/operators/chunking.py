@@ -37,27 +37,32 @@ def paragraphs(c: Column | str) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n\n"), lambda p: F.btrim(p, F.lit(" \t\r\n\f"))), lambda p: p != "")
 
 
-def pack_paragraphs(df: DataFrame, keys: list[str], text: str, target: int = 300, section: Column | None = None, header_flushes: bool = True) -> DataFrame:
+#: Fixed value: the form of a header in the variant that joins paragraphs by blank lines.
+WIDE_HEADER = r"^[A-Z0-9\s,.\-—:;()]{4,60}$"
+
+
+def pack_paragraphs(df: DataFrame, keys: list[str], text: str, target: int = 300, section: Column | None = None, header_flushes: bool = True, joint: str = " ", header: str = HEADER) -> DataFrame:
     """Paragraphs packed greedily up to ``target`` words: ``keys``, ordinal, section_title, text, word_count.
 
     A paragraph of one line in capitals is a header: it names the section and, with
     ``header_flushes``, closes the chunk. A paragraph longer than the target stays whole.
+    Paragraphs are joined by ``joint``; by blanks, their own white space is collapsed too.
     The fold keeps numbers of paragraphs; text is cut out at the end.
     """
     first = section if section is not None else F.lit(None).cast("string")
-    own = df.select(*keys, F.transform(paragraphs(F.col(text)), lambda p: F.struct(p.alias("p"), F.size(words(p)).alias("n"), (~p.contains("\n") & p.rlike(HEADER)).alias("h"))).alias("_p"), first.cast("string").alias("_first"))
+    own = df.select(*keys, F.transform(paragraphs(F.col(text)), lambda p: F.struct(p.alias("p"), F.size(words(p)).alias("n"), (~p.contains("\n") & p.rlike(header)).alias("h"))).alias("_p"), first.cast("string").alias("_first"))
     empty = F.array().cast("array<struct<section:string,text:string,n:int>>")
     chunk = lambda a: F.struct(a["section"].alias("section"), a["text"].alias("text"), a["n"].alias("n"))
     state = lambda done, sec, text, n: F.struct(done.alias("done"), sec.alias("section"), text.alias("text"), n.alias("n"))
 
     def add(a: Column, p: Column) -> Column:
         closed = F.concat(a["done"], F.array(chunk(a)))
-        body = squeeze(p["p"])
+        body = squeeze(p["p"]) if joint == " " else p["p"]
         flush = a["n"] > 0
         on_header = state(F.when(flush & F.lit(header_flushes), closed).otherwise(a["done"]), p["p"], F.when(F.lit(header_flushes), F.lit("")).otherwise(a["text"]), F.when(F.lit(header_flushes), F.lit(0)).otherwise(a["n"]))
         full = flush & (a["n"] + p["n"] > target)
         on_full = state(closed, a["section"], body, p["n"])
-        on_more = state(a["done"], a["section"], F.when(flush, F.concat_ws(" ", a["text"], body)).otherwise(body), a["n"] + p["n"])
+        on_more = state(a["done"], a["section"], F.when(flush, F.concat_ws(joint, a["text"], body)).otherwise(body), a["n"] + p["n"])
         return F.when(p["h"], on_header).when(full, on_full).otherwise(on_more)
 
     folded = F.aggregate("_p", state(empty, F.col("_first"), F.lit(""), F.lit(0)), add, lambda a: F.when(a["n"] > 0, F.concat(a["done"], F.array(chunk(a)))).otherwise(a["done"]))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from quireflow.functions.text import words
 
@@ -19,26 +20,14 @@ def char_error(hypothesis: Column, reference: Column, empty: str = "scorer") ->
     return F.when(n > 0, d / n).otherwise(F.when(F.length(hypothesis) == 0, F.lit(0.0)).otherwise(F.lit(1.0)) if empty == "test" else F.lit(None).cast("double"))
 
 
-@F.pandas_udf(IntegerType())
-def word_edits(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
-    """Edits between word lists. Arrow: both lists are mapped to numbers and compared a row of the table at a time."""
-
-    def one(h: str | None, r: str | None) -> int | None:
-        if h is None or r is None:
-            return None
-        a, b = h.split(), r.split()
-        code = {w: i for i, w in enumerate(dict.fromkeys(a + b))}
-        y = np.array([code[w] for w in b], np.int64)
-        steps = np.arange(len(b) + 1)
-        row = steps.copy()
-        for i, w in enumerate(a, 1):
-            best = np.empty(len(b) + 1, np.int64)
-            best[0] = i
-            best[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != code[w]))
-            row = np.minimum.accumulate(best - steps) + steps
-        return int(row[-1])
-
-    return pd.Series([one(h, r) for h, r in zip(hypothesis, reference)], dtype="Int32")
+def word_edits(hypothesis: Column | str, reference: Column | str) -> Column:
+    """Edits between the words of two texts, in the JVM: each distinct word becomes one character, and characters are compared."""
+    a, b = words(F.col(hypothesis) if isinstance(hypothesis, str) else hypothesis), words(F.col(reference) if isinstance(reference, str) else reference)
+    known = F.array_distinct(F.concat(a, b))
+    # Planes beyond the first hold a million characters, and none of them is half of a pair.
+    sign = lambda w: F.lpad(F.hex(F.array_position(known, w) + 0x10000), 8, "0")
+    coded = lambda ws: F.decode(F.unhex(F.array_join(F.transform(ws, sign), "")), "UTF-32")
+    return F.levenshtein(coded(a), coded(b))
 
 
 def word_f1(pairs: DataFrame, key: str, hypothesis: str, reference: str, multiset: bool = True, both_empty: float = 1.0) -> DataFrame:
@@ -50,10 +39,40 @@ def word_f1(pairs: DataFrame, key: str, hypothesis: str, reference: str, multise
     return pairs.select(key).join(sums, key, "left").select(key, f1.alias("word_f1"))
 
 
-def first_ranks(hits: DataFrame, unit: str) -> DataFrame:
-    """Ranks over distinct units (pages) in the order of their best hit: (query_id, ``unit``, unit_rank)."""
-    best = hits.groupBy("query_id", unit).agg(F.min("rank").alias("best"))
-    return best.withColumn("unit_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("best"))).drop("best")
+def first_ranks(hits: DataFrame, unit: str, at: str | None = None) -> DataFrame:
+    """Ranks over distinct units (pages) in the order of their best hit, and of their place ``at`` within it: (query_id, ``unit``, unit_rank)."""
+    best = hits.groupBy("query_id", unit).agg(F.min(F.struct("rank", F.col(at) if at else F.lit(0))).alias("best"))
+    return best.withColumn("unit_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("best", unit))).drop("best")
+
+
+def chunk_hits(hits: DataFrame, chunk_units: DataFrame, gold: DataFrame, unit: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """For each query with hits, whether one of the first k chunks holds a gold unit."""
+    good = hits.join(chunk_units, "item_id").join(gold, ["query_id", unit], "left_semi").select("query_id", "item_id").distinct().withColumn("good", F.lit(1))
+    own = hits.join(good, ["query_id", "item_id"], "left")
+    return own.groupBy("query_id").agg(*[F.max(F.when((F.col("rank") <= k) & F.col("good").isNotNull(), 1).otherwise(0)).alias(f"hit_at_{k}") for k in ks])
+
+
+def span_found(hits: DataFrame, texts: DataFrame, spans: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, found): whether the span stands in one of the first ``k`` texts, whatever its case."""
+    own = hits.where(F.col("rank") <= k).join(spans, "query_id").join(texts, "item_id")
+    return own.groupBy("query_id").agg(F.max(F.coalesce(F.contains(F.lower("text"), F.lower("span")), F.lit(False)).cast("int")).alias("found"))
+
+
+def best_threshold(scores: DataFrame, points: int = 100, margin: float = 0.05) -> DataFrame:
+    """(tau, objective): of evenly spaced thresholds over the scores and a margin, the lowest with the highest F1 and share of answered queries together."""
+    ends = scores.agg((F.min("score") - margin).alias("low"), (F.max("score") + margin).alias("high"))
+    grid = scores.sparkSession.range(points).crossJoin(F.broadcast(ends)).select((F.col("low") + F.col("id") * (F.col("high") - F.col("low")) / float(points - 1)).alias("tau"))
+    swept = threshold_sweep(scores, grid)
+    objective = F.round(F.col("f1") + F.coalesce(F.col("tn") / F.nullif(F.col("tn") + F.col("fp"), F.lit(0)), F.lit(0.0)), 9)
+    best = swept.withColumn("objective", objective).agg(F.min_by(F.struct("tau", "objective"), F.struct(-F.col("objective"), "tau")).alias("b"))
+    return best.select("b.tau", "b.objective")
+
+
+def select_best(models: DataFrame, name: str) -> DataFrame:
+    """The row with the highest r5, mrr, coverage and span, then the lowest latency, then the first name."""
+    order = F.struct(-F.col("r5"), -F.col("mrr"), -F.col("coverage"), -F.col("span"), "latency", name)
+    columns = models.columns
+    return models.agg(F.min_by(F.struct(*columns), order).alias("b")).select("b.*")
 
 
 def retrieval_metrics(gold: DataFrame, ranked: DataFrame, unit: str, ks: tuple[int, ...] = (1, 5, 10), depth: int = 10) -> DataFrame:
@@ -101,13 +120,22 @@ def bootstrap_interval(values: DataFrame, value: str, resamples: int = 1000, see
     Sums of all resamples are added up in the tasks, so the table is never multiplied.
     """
 
-    def sums(frames: pd.DataFrame) -> pd.DataFrame:
+    # Chances of 0, 1, 2, ... in a Poisson draw of mean 1.
+    chances = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 16)]))
+    marks = np.uint64(seed) + np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, weight = np.zeros(resamples), np.zeros(resamples)
         for pdf in frames:
-            for h, v in zip(pdf["h"], pdf["v"]):
-                w = np.random.default_rng([seed, h & 0x7FFFFFFFFFFFFFFF]).poisson(1.0, resamples)
-                total += w * v
-                weight += w
+            h, v = pdf["h"].to_numpy().astype(np.int64).view(np.uint64), pdf["v"].to_numpy(np.float64)
+            for a in range(0, len(h), 500):
+                x = h[a : a + 500, None] ^ marks  # a mixed hash of row and resample is its draw
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+                w = np.searchsorted(chances, u.ravel()).reshape(u.shape)
+                total += v[a : a + 500] @ w
+                weight += w.sum(0)
         yield pd.DataFrame({"b": range(resamples), "s": total, "w": weight})
 
     keyed = values.where(F.col(value).isNotNull()).select(F.xxhash64(*values.columns).alias("h"), F.col(value).cast("double").alias("v"))

@@ -25,6 +25,19 @@ def complete_parents(parents: DataFrame, children: DataFrame, key: str, expected
     return parents.join(counted, key, "left").where((F.coalesce("_n", F.lit(0)) == F.col(expected)) & (F.coalesce("_good", F.lit(0)) == F.col(expected))).drop("_n", "_good")
 
 
+def first_complete(parents: DataFrame, children: DataFrame, keys: list[str], expected: str, order: str) -> DataFrame:
+    """The first of the rows of each key whose children number as expected."""
+    counted = children.groupBy(*keys).agg(F.count("*").alias("_n"))
+    good = parents.join(counted, keys, "left").where(F.coalesce("_n", F.lit(0)) == F.col(expected)).drop("_n")
+    columns = [c for c in good.columns if c not in keys]
+    return good.groupBy(*keys).agg(F.min_by(F.struct(*columns), order).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in columns])
+
+
+def without_errors(df: DataFrame, error: str) -> DataFrame:
+    """Rows without an error, null and empty alike."""
+    return df.where(F.coalesce(F.col(error).cast("string"), F.lit("")) == "")
+
+
 def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     """(``key``, class_id, copies): class of rows of equal text, named by the smallest key. Copies are not paired off."""
     hashed = df.where(F.col(text).isNotNull()).select(key, F.sha2(text, 256).alias("_h"))

@@ -6,9 +6,9 @@ from quireflow.catalog import Catalog
 
 
 def catalog() -> Catalog:
-    from quireflow.plans import aggregates, boxes, chunks, evaluation, ordered, records, search, texts
+    from quireflow.plans import aggregates, boxes, chunks, evaluation, ordered, records, search, texts, transcripts, wordboxes
 
     c = Catalog()
-    for module in (texts, chunks, boxes, search, aggregates, evaluation, ordered, records):
+    for module in (texts, chunks, boxes, search, aggregates, evaluation, ordered, records, transcripts, wordboxes):
         module.register(c)
     return c

@@ -31,11 +31,23 @@ def register(c: Catalog) -> None:
 
     @q("a8_confidence_by_bucket", """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, quantile_cont(value, 0.1) AS p10, avg(CASE WHEN value < 0.7 THEN 1.0 ELSE 0.0 END)::DOUBLE AS below FROM events GROUP BY 1""")
     def _(s, d):
-        return ev(s, d).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.percentile("value", 0.1).alias("p10"), F.avg((F.col("value") < 0.7).cast("double")).alias("below"))
+        return ev(s, d).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.avg((F.col("value") < 0.7).cast("double")).alias("below")).join(A.exact_percentiles(ev(s, d), ["event_type"], "value", {"p10": 0.1}), "event_type")
 
-    @q("a9_missing_numbers", "SELECT range AS number FROM range(1, 61) WHERE range NOT IN (SELECT page_num FROM canonical_pages WHERE doc_id = 'lantern-1887')")
+    @q("a9_missing_numbers", """SELECT doc_id, number FROM (SELECT doc_id, unnest(range(1, top + 1)) AS number FROM (SELECT doc_id, max(page_num) AS top FROM canonical_pages WHERE doc_id IS NOT NULL GROUP BY 1))
+        EXCEPT SELECT doc_id, page_num FROM canonical_pages""")
     def _(s, d):
-        return A.missing_numbers(table(s, d, "canonical_pages").where("doc_id = 'lantern-1887'"), "page_num", 1, 60)
+        return A.missing_numbers(table(s, d, "canonical_pages"), "doc_id", "page_num")
+
+    @q("a9_union_over_sources", """SELECT doc_id, count(DISTINCT page_num) AS pages, min(page_num) AS first, max(page_num) AS last, count(DISTINCT page_num) FILTER (ocr_source IS NOT NULL) AS named, count(*) FILTER (page_num NOT BETWEEN 1 AND 289) AS implausible
+        FROM canonical_pages WHERE doc_id IS NOT NULL GROUP BY 1""")
+    def _(s, d):
+        number = F.col("page_num")
+        return table(s, d, "canonical_pages").where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+            F.countDistinct(number).alias("pages"), F.min(number).alias("first"), F.max(number).alias("last"), F.countDistinct(F.when(F.col("ocr_source").isNotNull(), number)).alias("named"), F.count_if(~number.between(1, 289)).alias("implausible"))
+
+    @q("a13_flag_counts", "SELECT flag, count(*) AS n FROM (SELECT unnest(string_split(l_returnflag || '|' || l_linestatus || '|' || l_returnflag, '|')) AS flag FROM lineitem) GROUP BY 1")
+    def _(s, d):
+        return A.flag_counts(table(s, d, "lineitem").select(F.concat_ws("|", "l_returnflag", "l_linestatus", "l_returnflag").alias("flags")), "flags")
 
     @q("a10_combinations", "SELECT members, count(*) AS n FROM (SELECT user_id, list_sort(list(DISTINCT event_type)) AS members FROM events GROUP BY 1) GROUP BY 1")
     def _(s, d):
@@ -60,7 +72,8 @@ def register(c: Catalog) -> None:
 
     @q("a15_percentiles", "SELECT quantile_cont(value, [0, 0.05, 0.25, 0.5, 0.75, 0.95, 1]) AS ps FROM events")
     def _(s, d):
-        return ev(s, d).agg(F.percentile("value", F.array(*[F.lit(float(x)) for x in (0, 0.05, 0.25, 0.5, 0.75, 0.95, 1)])).alias("ps"))
+        shares = {f"p{i}": float(x) for i, x in enumerate((0, 0.05, 0.25, 0.5, 0.75, 0.95, 1))}
+        return A.exact_percentiles(ev(s, d), [], "value", shares).select(F.array(*shares).alias("ps"))
 
     @q("a16_cut_buckets", """SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN value <= lo THEN 'low' WHEN value >= hi THEN 'high' ELSE 'middle' END AS bucket FROM events, (SELECT quantile_cont(value, 0.15) AS lo, quantile_cont(value, 0.85) AS hi FROM events)) GROUP BY 1""")
     def _(s, d):
@@ -95,7 +108,7 @@ def register(c: Catalog) -> None:
 
     @q("a23_latency", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1")
     def _(s, d):
-        return ev(s, d).groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"))
+        return A.exact_percentiles(ev(s, d), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
     @q("a25_calibration_error", """SELECT round(sum(n * abs(c - a)) / sum(n), 9) AS ece FROM (SELECT count(*) AS n, avg(score) AS c, avg(CASE WHEN size > 1 THEN 1.0 ELSE 0.0 END) AS a
         FROM (SELECT score, len(page_ids) AS size FROM chunks WHERE score IS NOT NULL AND page_ids IS NOT NULL) GROUP BY least(floor(score * 10), 9))""")

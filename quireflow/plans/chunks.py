@@ -48,7 +48,10 @@ def register(c: Catalog) -> None:
     def _(s, d):
         return C.parent_child(pages(s, d), ["row_id"], "text").drop("parent_text")
 
-    @q("c3_overlapping_parents")
+    @q("c3_overlapping_parents", f"""SELECT row_id, parent_no, ordinal AS child_no, array_to_string(w[ordinal * 112 + 1 : ordinal * 112 + 128], ' ') AS text, CAST(len(w[ordinal * 112 + 1 : ordinal * 112 + 128]) AS INT) AS word_count
+        FROM (SELECT row_id, parent_no, w, unnest(range(0, CAST(ceil(len(w) / 112) AS BIGINT))) AS ordinal FROM
+        (SELECT row_id, p AS parent_no, all_w[p * 448 + 1 : p * 448 + 512] AS w FROM (SELECT row_id, all_w, unnest(range(0, CAST(ceil(len(all_w) / 448) AS BIGINT))) AS p
+        FROM (SELECT row_id, {WORDS} AS all_w FROM canonical_pages) WHERE len(all_w) > 0)))""")
     def _(s, d):
         return C.parent_child(pages(s, d), ["row_id"], "text", parent_overlap=64, early_stop=False).drop("parent_text")
 
@@ -58,7 +61,7 @@ def register(c: Catalog) -> None:
 
     @q("c4_headers_kept")
     def _(s, d):
-        return C.pack_paragraphs(pages(s, d), ["row_id"], "text", 300, header_flushes=False)
+        return C.pack_paragraphs(pages(s, d), ["row_id"], "text", 300, header_flushes=False, joint="\n\n", header=C.WIDE_HEADER)
 
     @q("c6_paragraphs", """SELECT row_id, unnest(list_filter(list_transform(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(12) || chr(13))), lambda p: p <> '')) AS paragraph FROM canonical_pages""")
     def _(s, d):

@@ -46,7 +46,7 @@ def register(c: Catalog) -> None:
     def _(s, d):
         return table(s, d, "chunks").where("score IS NOT NULL").select("row_id", "score").orderBy("score", "row_id").limit(30)
 
-    @q("w9_even_sample")
+    @q("w9_even_sample", "SELECT row_id, doc_id FROM (SELECT row_id, doc_id, row_number() OVER (ORDER BY row_id) - 1 AS n, count(*) OVER () AS total FROM canonical_pages) WHERE total <= 25 OR n IN (SELECT round_even(range * ((SELECT count(*) FROM canonical_pages) - 1) / 24.0::DOUBLE, 0) FROM range(25))")
     def _(s, d):
         return W.even_sample(table(s, d, "canonical_pages").select("row_id", "doc_id"), ["row_id"], 25)
 

@@ -67,11 +67,6 @@ def register(c: Catalog) -> None:
         labels = table(s, d, "page_labels").select("doc_id", "page_id", F.col("text").alias("gold"))
         return table(s, d, "canonical_pages").join(labels, ["doc_id", "page_id"], "left").select("row_id", F.coalesce("gold", F.lit("")).alias("gold"))
 
-    @q("j4_page_range", "SELECT 'p' || lpad(CAST(range AS VARCHAR), 4, '0') AS page_id, CASE WHEN t IS NULL THEN 'missing' WHEN trim(t) = '' THEN 'empty' ELSE 'blocks' END AS ocr_source, coalesce(t, '') AS text FROM range(1, 71) LEFT JOIN (SELECT page_id, min(text) AS t FROM canonical_pages WHERE doc_id = 'lantern-1887' GROUP BY 1) ON page_id = 'p' || lpad(CAST(range AS VARCHAR), 4, '0')")
-    def _(s, d):
-        own = table(s, d, "canonical_pages").where("doc_id = 'lantern-1887'").groupBy("page_id").agg(F.min("text").alias("text"))
-        return jsonl.with_page_range(own, 1, 70)
-
     @q("j13_modes_side_by_side", "SELECT doc_id, page_id, max(CASE WHEN ocr_source = 'chandra' THEN word_count END) AS chandra, max(CASE WHEN ocr_source = 'qwen' THEN word_count END) AS qwen FROM canonical_pages GROUP BY 1, 2")
     def _(s, d):
         return table(s, d, "canonical_pages").groupBy("doc_id", "page_id").pivot("ocr_source", ["chandra", "qwen"]).agg(F.max("word_count"))
@@ -119,8 +114,8 @@ def register(c: Catalog) -> None:
     @q("x2_sessions", """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM
         (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session""")
     def _(s, d):
-        return E.sessions(table(s, d, "events"))
+        return E.run_to_end(E.sessions(E.read_events(s, d)))
 
     @q("x3_deduplicated", "SELECT event_id FROM events GROUP BY 1")
     def _(s, d):
-        return table(s, d, "events").dropDuplicates(["event_id"]).select("event_id")
+        return E.run_to_end(E.deduplicated(E.read_events(s, d)).select("event_id"), "append")

@@ -49,17 +49,33 @@ def register(c: Catalog) -> None:
     def _(s, d):
         return table(s, d, "canonical_pages").select("row_id", T.historical("text").alias("form"))
 
-    @q("t9_string_list", "SELECT row_id, list_filter(list_transform(page_ids, lambda x: trim(x)), lambda x: x <> '') AS pages FROM chunks")
+    @q("t9_string_list", f"SELECT row_id, list_filter(list_transform(page_ids, lambda x: trim(regexp_replace(x, '{WS}', ' ', 'g'))), lambda x: x <> '') AS pages FROM chunks")
     def _(s, d):
-        return table(s, d, "chunks").select("row_id", F.filter(F.transform("page_ids", lambda x: F.btrim(x)), lambda x: x != "").alias("pages"))
+        return table(s, d, "chunks").select("row_id", T.string_list("page_ids").alias("pages"))
 
-    @q("t10_join_tokens", f"""SELECT row_id, regexp_replace(array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9 \\t\\r\\n]'), '  '), '  ([.,;:!?)\\]}}%…])', '\\1', 'g') AS joined
+    @q("t4_category_form")
+    def _(s, d):
+        return table(s, d, "documents").select("doc_id", T.category_form("text").alias("form"))
+
+    @q("t14_label_number", "SELECT p_partkey, try_cast(list_last(string_split(p_name || ' ' || p_size, ' ')) AS INT) AS number FROM part")
+    def _(s, d):
+        return table(s, d, "part").select("p_partkey", T.label_number(F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))).alias("number"))
+
+    @q("t23_is_figure", "SELECT row_id, coalesce(regexp_matches(lower(text), '" + "|".join(T.FIGURE_HINTS) + "'), false) AS is_figure FROM canonical_pages")
+    def _(s, d):
+        return table(s, d, "canonical_pages").select("row_id", T.is_figure("text").alias("is_figure"))
+
+    @q("u5_size_and_digest", "SELECT doc_id, strlen(text) AS n_bytes, sha256(text) AS digest FROM documents")
+    def _(s, d):
+        return table(s, d, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("digest"))
+
+    @q("t10_join_tokens", f"""SELECT row_id, regexp_replace(array_to_string(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}} \\t\\r\\n]'), '  '), '  ([.,;:!?)\\]}}%…])', '\\1', 'g') AS joined
         FROM chunks WHERE text IS NOT NULL""".replace("'  '", "' '").replace("'  (", "' ("))
     def _(s, d):
-        tokens = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9 \t\r\n]"), 0)
+        tokens = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N} \t\r\n]"), 0)
         return table(s, d, "chunks").where("text IS NOT NULL").select("row_id", T.join_tokens(tokens).alias("joined"))
 
-    @q("t11_json_object")
+    @q("t11_json_object", """SELECT row_id, '{"row_id":' || row_id || CASE WHEN doc_id IS NOT NULL THEN ',"doc_id":"' || doc_id || '"' ELSE '' END || '}' AS found FROM chunks""")
     def _(s, d):
         made = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct("row_id", "doc_id")), F.lit("\n```"))
         return table(s, d, "chunks").select("row_id", T.json_object(made).alias("found"))
@@ -94,9 +110,15 @@ def register(c: Catalog) -> None:
     def _(s, d):
         return table(s, d, "retrieval_queries").select("query_id", F.concat_ws("\n", F.nullif("region", F.lit("")), F.nullif("category", F.lit("")), "question").alias("body"))
 
-    @q("t22_region_kind", "SELECT DISTINCT source, 'text' AS kind FROM documents")
+    labels = [*T.REGION_KINDS, "Unknown", "TITLE"]
+    named = "[" + ", ".join(f"'{x}'" for x in labels) + "]"
+    kinds = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.REGION_KINDS.items())
+
+    @q("t22_region_kind", f"SELECT label, kind, count(*) AS n FROM (SELECT label, CASE lower(label) {kinds} ELSE 'text' END AS kind FROM (SELECT {named}[CAST(l_partkey % {len(labels)} AS INT) + 1] AS label FROM lineitem)) GROUP BY 1, 2")
     def _(s, d):
-        return table(s, d, "documents").select("source", T.region_kind("source").alias("kind")).distinct()
+        label = F.element_at(F.array(*[F.lit(x) for x in labels]), (F.col("l_partkey") % len(labels)).cast("int") + 1)
+        own = table(s, d, "lineitem").select(label.alias("label"))
+        return own.groupBy("label", T.region_kind("label").alias("kind")).agg(F.count("*").alias("n"))
 
     @q("t24_bucket", """SELECT row_id, CASE WHEN coalesce(char_count, 0) = 0 THEN 'blank' WHEN word_count < 100 THEN 'sparse' WHEN word_count > 400 THEN 'dense' ELSE 'plain' END AS bucket FROM canonical_pages""")
     def _(s, d):

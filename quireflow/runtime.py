@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read and write.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset, as in
-    tests on one machine, a temporary folder is made and put into the setting.
+    It is ``spark.checkpoint.dir`` of the session. Only where that is unset and the session
+    runs in one process, as in tests, a temporary folder is made and put into the setting;
+    on a cluster a folder of one machine would lose data, so an error is raised.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quireflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
