@@ -7,7 +7,9 @@ the others in the same proportion. A source then takes every document as many wh
 as fit (certain copies) and fills the rest with a sample: inclusion probabilities rise with
 the square root of the size, so that long documents are neither crowded out nor drawn by
 length alone, documents are ranked by random odds over inclusion odds, and the first are
-taken until the rest is filled, to within one document.
+taken until the rest is filled. The size is fixed in tokens, not in documents, to within one
+document. Documents whose probability would reach 1 are certain: they are taken first, and the
+probabilities of the others are raised to fill what they leave, until no more reach 1.
 
 The cut of the ranking is found without bringing a source together: ranks fall into
 ``BINS`` bins, whose sums show the bin of the cut; only documents of that bin are ordered.
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 BINS = 4096
 #: Power of the size in the inclusion probability.
 POWER = 0.5
+#: Rounds of taking out certain documents at most.
+ROUNDS = 8
 
 
 def allocate(sources: dict[str, tuple[float, int, int]], total: float) -> dict[str, float]:
@@ -64,16 +68,31 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     rows = sized.collect()  # a row for each source of the targets
     total = float(total_tokens if total_tokens is not None else sum(r["size"] for r in rows))
     given = allocate({r["source"]: (r["share"], r["size"] * max(r["most"], 0), r["size"]) for r in rows}, total)
-    plan = []
+    plan = {}
     for r in rows:
         whole = min(int(given[r["source"]] // r["size"]), max(r["most"], 0))
         rest = given[r["source"]] - whole * r["size"] if whole < r["most"] else 0.0
-        # p = factor * tokens ** POWER, held between bounds, adds up to about the rest.
-        plan.append((r["source"], whole, float(rest), rest / r["moment"] if r["moment"] else 0.0))
+        # p = factor * tokens ** POWER adds up to about the rest.
+        plan[r["source"]] = [r["source"], whole, float(rest), rest / r["moment"] if r["moment"] else 0.0]
+    kinds = "source string, whole int, rest double, factor double"
+    certain = dict.fromkeys(plan, 0)
+    for _ in range(ROUNDS if plan else 0):
+        sure = F.col("factor") * F.pow("n_tokens", F.lit(POWER)) >= 1
+        now = usable.join(F.broadcast(spark.createDataFrame(list(map(tuple, plan.values())), kinds)), "source").groupBy("source").agg(
+            F.count_if(sure).alias("n"), F.sum(F.when(sure, F.col("n_tokens")).otherwise(0)).alias("size"), F.sum(F.when(sure, 0.0).otherwise(F.pow("n_tokens", F.lit(1.0 + POWER)))).alias("moment")
+        ).collect()  # a row for each source of the targets
+        if all(r["n"] == certain[r["source"]] for r in now):
+            break
+        for r in now:
+            certain[r["source"]] = r["n"]
+            left = plan[r["source"]][2] - r["size"]
+            if r["n"] and left > 0 and r["moment"] > 0:
+                plan[r["source"]][3] = max(plan[r["source"]][3], left / r["moment"])
+    plan = list(map(tuple, plan.values()))
     plans = spark.createDataFrame(plan, "source string, whole int, rest double, factor double") if plan else spark.createDataFrame([], "source string, whole int, rest double, factor double")
     u = (F.xxhash64("doc_id", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
-    p = F.least(F.greatest(F.col("factor") * F.pow("n_tokens", F.lit(POWER)), F.lit(1e-9)), F.lit(1 - 1e-9))
-    odds = (u / (1 - u)) / (p / (1 - p))
+    p = F.greatest(F.col("factor") * F.pow("n_tokens", F.lit(POWER)), F.lit(1e-12))
+    odds = F.when(p >= 1, F.lit(0.0)).otherwise((u / (1 - u)) * (1 - p) / p)
     ranked = usable.join(F.broadcast(plans), "source").withColumn("rank", odds / (1 + odds)).withColumn("bin", F.floor(F.col("rank") * BINS))
     # Sums of bins: sources times BINS rows at most.
     sums = ranked.where("rest > 0").groupBy("source", "bin").agg(F.sum("n_tokens").alias("in_bin"), F.first("rest").alias("rest"))
