@@ -403,14 +403,14 @@ class Reader:
             e = self.ends[raw] = (front.group().lower() if front else "", tail.group().lower() if tail else "", len(raw) == 1 and raw.isalpha())
         return e
 
-    def _maybe(self, a: str, b: str) -> bool:
-        """Whether two neighbours may make up other words."""
+    def _maybe(self, a: str, b: str, shift: bool) -> bool:
+        """Whether two neighbours may make up another word, or with ``shift`` two words divided elsewhere."""
         joined, frequent = a + b, self.frequent
         if not a or not b:
             return False
         if joined in frequent:
             return True
-        return any(joined[:c] in frequent and joined[c:] in frequent for c in range(max(1, len(a) - 3), min(len(joined), len(a) + 4)) if c != len(a)) if len(joined) >= 5 else False
+        return shift and any(joined[:c] in frequent and joined[c:] in frequent for c in range(max(1, len(a) - 3), min(len(joined), len(a) + 4)) if c != len(a)) if len(joined) >= 5 else False
 
     def any_torn(self, raws: list[str], odd: set[str]) -> bool:
         """Whether ``torn`` finds anything, looked for beside uncommon words and lone letters only."""
@@ -419,7 +419,8 @@ class Reader:
             if raw in odd:
                 front, tail, lone = self._ends(raw)
                 before, after = self._ends(raws[i - 1])[1] if i else "", self._ends(raws[i + 1])[0] if i + 1 < n else ""
-                if self._maybe(before, front) or self._maybe(tail, after) or (before and after and front == raw.lower() and before + front + after in self.frequent) or (lone and i + 1 < n and self._ends(raws[i + 1])[2]):
+                rare = self.known[raw][0] is not None
+                if self._maybe(before, front, rare) or self._maybe(tail, after, rare) or (before and after and front == raw.lower() and before + front + after in self.frequent) or (lone and i + 1 < n and self._ends(raws[i + 1])[2]):
                     if self.torn(" ".join(raws[max(0, i - 3 if not lone else i - FRAGMENTS) : i + (4 if not lone else FRAGMENTS)])):
                         return True
         return False
