@@ -6,7 +6,7 @@ share of lines that end in punctuation and share of common words. The language o
 is the one whose common words are most frequent in it.
 
 For each language, mean and covariance of prose are found from all its rows: beginning
-with the rows near the median share of common words, fit and membership alternate until
+with the rows near the median share of common words in their language, fit and membership alternate until
 they settle, so that lists and junk do not enter the fit. Every round is one aggregation
 of sums, whatever the number of rows. The distance of a row is split exactly into the
 contributions of its statistics.
@@ -178,11 +178,15 @@ def _squared() -> Column:
 def fit_prose(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Mean and covariance of prose for each language, from all rows of ``stats``."""
     usable = stats.where("language != 'und'")
-    middle = usable.agg(F.percentile_approx("f_common", 0.5, 1000).alias("m")).first()["m"]
-    if middle is None:
+    # Median and spread of each language; those of few rows take the ones over all.
+    half = F.percentile_approx("f_common", 0.5, 1000)
+    middles = {r["language"]: r["m"] for r in usable.rollup("language").agg(half.alias("m"), F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("language").isNull(), 1).otherwise(LEAST_ROWS)).collect()}  # a row for each language
+    if not middles:
         return _with_default({})
-    spread = usable.agg(F.percentile_approx(F.abs(F.col("f_common") - middle), 0.5, 1000).alias("m")).first()["m"]
-    inside = usable.where(F.abs(F.col("f_common") - middle) <= 9 * max(spread, 0.01))
+    chosen = lambda found: F.coalesce(*[F.when(F.col("language") == x, F.lit(v)) for x, v in found.items() if x is not None], F.lit(found[None]))
+    off = F.abs(F.col("f_common") - chosen(middles))
+    spreads = {r["language"]: max(r["m"], 0.01) for r in usable.withColumn("_off", off).rollup("language").agg(F.percentile_approx("_off", 0.5, 1000).alias("m")).collect() if r["language"] is None or r["language"] in middles}
+    inside = usable.where(off <= 9 * chosen(spreads))
     before = 0
     for _ in range(ROUNDS):
         found = _moments(inside)
