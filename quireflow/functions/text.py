@@ -187,3 +187,12 @@ def label_number(label: Column | str) -> Column:
 def string_list(values: Column | str) -> Column:
     """Strings with white space collapsed, empty and null ones left out."""
     return F.filter(F.transform(values, squeeze), lambda x: x.isNotNull() & (x != ""))
+
+
+def guess_numbers(c: Column | str) -> Column:
+    """Page numbers that the first or last three lines may hold, in order: up to four digits, or roman numerals up to 200."""
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.btrim(x)), lambda x: x != "")
+    band = F.concat(F.slice(lines, 1, 3), F.slice(F.reverse(lines), 1, 3))
+    own = F.flatten(F.transform(band, lambda x: F.split(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "), " ")))
+    value = lambda w: F.when(w.rlike("^[0-9]{1,4}$"), w.try_cast("int")).when(w.rlike("^(?i)[ivxlc]{1,8}$") & (roman(w) <= 200), roman(w))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(own, value), lambda n: n.isNotNull())))

@@ -12,6 +12,10 @@ from quireflow.plans.search import LEXICAL, QUERY_NO, SCORED
 
 FOLD = lambda c: f"trim(regexp_replace({c}, '{WS}', ' ', 'g'))"
 PAIRS = f"(SELECT p.row_id, {FOLD('p.text')} AS hyp, {FOLD('l.text')} AS ref FROM canonical_pages p JOIN page_labels l ON p.doc_id = l.doc_id AND p.page_id = l.page_id WHERE p.text IS NOT NULL AND l.text IS NOT NULL)"
+#: The distance of the SQL engine counts bytes, so each sign of old print beyond ASCII is put as one byte on either side.
+SIGNS = "¬\xad°·ſ‐—–’‘“”…æœÆŒéèêﬁﬂﬀﬃﬄﬅﬆ"
+BYTES = "||".join(f"chr({i})" for i in [*range(1, 9), 11, 12, *range(14, 31)][: len(SIGNS)])
+ONE = lambda c: f"translate({c}, '{SIGNS}', {BYTES})"
 WORDS = lambda c: f"list_filter(string_split({c}, ' '), lambda x: x <> '')"
 HITS = f"(SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank, score FROM {SCORED} WHERE query_id <> item_id)"
 NEG = "(SELECT vec_id, embedding[1]::DOUBLE AS score, label >= 7 AS is_negative FROM embeddings)"
@@ -28,7 +32,7 @@ def register(c: Catalog) -> None:
         labels = table(s, d, "page_labels").where("text IS NOT NULL").select("doc_id", "page_id", fold("text").alias("ref"))
         return pages.join(labels, ["doc_id", "page_id"]).select("row_id", "hyp", "ref")
 
-    @q("e3_char_error", f"SELECT row_id, levenshtein(hyp, ref) / greatest(1, length(ref)) AS cer FROM {PAIRS}")
+    @q("e3_char_error", f"SELECT row_id, levenshtein({ONE('hyp')}, {ONE('ref')}) / greatest(1, length(ref)) AS cer FROM {PAIRS}")
     def _(s, d):
         return pairs(s, d).select("row_id", M.char_error(F.col("hyp"), F.col("ref")).alias("cer"))
 
@@ -36,7 +40,7 @@ def register(c: Catalog) -> None:
     def _(s, d):
         return pairs(s, d).withColumn("edits", M.word_edits("hyp", "ref")).select("row_id", "edits", (F.col("edits") / F.greatest(F.lit(1), F.size(F.split("ref", " ")))).alias("wer"))
 
-    @q("a4_micro_macro", f"SELECT avg(e / greatest(1, n)) AS macro, sum(e) / greatest(1, sum(n)) AS micro FROM (SELECT levenshtein(hyp, ref) AS e, length(ref) AS n FROM {PAIRS})")
+    @q("a4_micro_macro", f"SELECT avg(e / greatest(1, n)) AS macro, sum(e) / greatest(1, sum(n)) AS micro FROM (SELECT levenshtein({ONE('hyp')}, {ONE('ref')}) AS e, length(ref) AS n FROM {PAIRS})")
     def _(s, d):
         own = pairs(s, d).select(F.levenshtein("hyp", "ref").alias("e"), F.length("ref").alias("n"))
         return own.agg(F.avg(F.col("e") / F.greatest(F.lit(1), F.col("n"))).alias("macro"), (F.sum("e") / F.greatest(F.lit(1), F.sum("n"))).alias("micro"))

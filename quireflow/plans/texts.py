@@ -10,6 +10,18 @@ from quireflow.functions import text as T
 WS = T.WS
 
 
+def _numeral(n: int) -> str:
+    out = ""
+    for sign, v in (("c", 100), ("xc", 90), ("l", 50), ("xl", 40), ("x", 10), ("ix", 9), ("v", 5), ("iv", 4), ("i", 1)):
+        while n >= v:
+            out, n = out + sign, n - v
+    return out
+
+
+#: SQL map of the numerals up to 200.
+ROMANS = "MAP {" + ", ".join(f"'{_numeral(n)}': {n}" for n in range(1, 201)) + "}"
+
+
 def register(c: Catalog) -> None:
     q = c.query
 
@@ -96,7 +108,14 @@ def register(c: Catalog) -> None:
         label = F.concat(F.lit("Fig. "), F.regexp_extract("line", r"(?i)F[i1l]g[.,]?\s*(\d{1,4})", 1))
         return lines.select("row_id", label.alias("label"), F.btrim(F.regexp_replace("line", r"(?i)^F[i1l]g[.,]?\s*\d{1,4}[.,]?", "")).alias("caption"))
 
-    @q("t19_roman_numbers")
+    @q("t19_guess_numbers", f"""SELECT row_id, list_sort(list_distinct(list_filter(list_transform(flatten(list_transform(list_concat(lines[1:3], lines[-3:]), lambda x: string_split(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '))),
+        lambda w: CASE WHEN regexp_full_match(w, '[0-9]{{1,4}}') THEN try_cast(w AS INT) ELSE {ROMANS}[lower(w)] END), lambda n: n IS NOT NULL))) AS numbers
+        FROM (SELECT row_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM canonical_pages WHERE text IS NOT NULL)""")
+    def _(s, d):
+        return table(s, d, "canonical_pages").where("text IS NOT NULL").select("row_id", T.guess_numbers("text").alias("numbers"))
+
+    @q("t19_roman_numbers", f"""SELECT row_id, "at", numeral, {ROMANS}[lower(numeral)] AS value FROM (SELECT row_id, CAST(unnest(range(len(l))) AS INT) AS "at", trim(unnest(l)) AS numeral FROM (SELECT row_id, string_split(text, chr(10)) AS l FROM canonical_pages WHERE text IS NOT NULL))
+        WHERE {ROMANS}[lower(numeral)] IS NOT NULL""")
     def _(s, d):
         lines = table(s, d, "canonical_pages").select("row_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
         own = lines.withColumn("numeral", F.btrim("line")).where(F.col("numeral").rlike("^(?i)[ivxlc]{1,8}$"))
