@@ -196,3 +196,17 @@ def guess_numbers(c: Column | str) -> Column:
     own = F.flatten(F.transform(band, lambda x: F.split(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "), " ")))
     value = lambda w: F.when(w.rlike("^[0-9]{1,4}$"), w.try_cast("int")).when(w.rlike("^(?i)[ivxlc]{1,8}$") & (roman(w) <= 200), roman(w))
     return F.array_sort(F.array_distinct(F.filter(F.transform(own, value), lambda n: n.isNotNull())))
+
+
+def personal_spans(c: Column | str, kind: str) -> Column:
+    """Spans (start, end, value) of personal data of a kind, counted from 0, in order; null texts have none."""
+    text = F.col(c) if isinstance(c, str) else c
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+    def add(a: Column, v: Column) -> Column:
+        at = F.position(v, text, a["pos"])
+        span = F.struct((at - 1).alias("start"), (at - 1 + F.length(v)).alias("end"), v.alias("value"))
+        return F.struct((at + F.length(v)).alias("pos"), F.concat(a["out"], F.array(span)).alias("out"))
+
+    found = F.coalesce(F.regexp_extract_all(text, F.lit(PERSONAL[kind]), 0), F.array().cast("array<string>"))
+    return F.aggregate(found, F.struct(F.lit(1).alias("pos"), none.alias("out")), add, lambda a: a["out"])

@@ -96,12 +96,6 @@ def repeated_units(df: DataFrame, unit: str, place: str) -> DataFrame:
     return df.groupBy(unit).agg(F.countDistinct(place).alias("places")).where("places > 1")
 
 
-def latest_before(rows: DataFrame, group: str, order: list[Column], k: int, value: str) -> DataFrame:
-    """Each row with the ``k`` values after it."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return rows.select("*", *[F.lead(value, i).over(w).alias(f"next_{i}") for i in range(1, k + 1)])
-
-
 def flag_counts(df: DataFrame, flags: str, sign: str = "|") -> DataFrame:
     """(flag, n) of flags joined by a sign in one column."""
     return df.select(F.explode(F.split(flags, "\\" + sign)).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))

@@ -38,11 +38,38 @@ def sequence(df: DataFrame, group: str, order: list[str], name: str = "seq") ->
     return placed.join(first, F.col(group).eqNullSafe(F.col("_g"))).withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_g", "_at", "_first")
 
 
-def runs(df: DataFrame, group: list[str], order: list[Column], value: str, name: str = "run") -> DataFrame:
-    """Number of the run of equal values, counted from 1 in each group."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    changed = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("int")
-    return df.withColumn("_changed", changed).withColumn(name, F.sum("_changed").over(w)).drop("_changed")
+def _numbered(df: DataFrame, group: list[str], order: list[str], label: str) -> DataFrame:
+    """``df`` with ``_at``, its place in the order of groups and rows, written once."""
+    return materialize(running_offsets(df.withColumn("_one", F.lit(1)), [*group, *order], "_one", "_at").drop("_one"), label)
+
+
+def runs(df: DataFrame, group: list[str], order: list[str], value: str, name: str = "run") -> DataFrame:
+    """Number of the run of equal values, counted from 1 in each group.
+
+    Rows are compared with the row before by their place in the whole order, and the
+    changes are added up over range partitions, so a group may hold any share of the table.
+    ``order`` must tell all rows of a group apart.
+    """
+    placed = _numbered(df, group, order, "runs")
+    before = placed.select((F.col("_at") + 1).alias("_at"), F.struct(*group, value).alias("_last"))
+    same = F.col("_last").isNotNull() & F.struct(*group, value).eqNullSafe(F.col("_last"))
+    changed = materialize(running_offsets(placed.join(before, "_at", "left").withColumn("_changed", (~same).cast("int")).drop("_last"), ["_at"], "_changed", "_before"), "runs-changed")
+    changed = changed.withColumn("_run", F.col("_before") + F.col("_changed"))
+    first = changed.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(F.min("_run").alias("_first"))
+    on = F.lit(True)
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    out = changed.join(first, on).withColumn(name, F.col("_run") - F.col("_first") + 1)
+    return out.select(*df.columns, name)
+
+
+def look_ahead(df: DataFrame, group: str, order: list[str], k: int, value: str) -> DataFrame:
+    """Each row with the ``k`` values after it in its group, joined by places in the whole order."""
+    placed = _numbered(df, [group], order, "look-ahead")
+    own = placed.select("_at", F.col(group).alias("_g"), F.col(value).alias("_v"))
+    # A row goes to the k places before it; of each place the values are told apart by distance.
+    sent = own.withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(k)))).select((F.col("_at") - F.col("_d")).alias("_to"), "_at", "_g", "_v").groupBy("_to", "_g").agg(*[F.max(F.when(F.col("_at") - F.col("_to") == i, F.col("_v"))).alias(f"next_{i}") for i in range(1, k + 1)])
+    return placed.join(sent, (F.col("_at") == F.col("_to")) & F.col(group).eqNullSafe(F.col("_g")), "left").select(*df.columns, *[f"next_{i}" for i in range(1, k + 1)])
 
 
 def islands(df: DataFrame, group: list[str], start: str, end: str, gap: float = 0) -> DataFrame:

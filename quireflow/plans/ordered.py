@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quireflow.catalog import Catalog, table
-from quireflow.operators import aggregates as A
 from quireflow.operators import windows as W
 
 
@@ -30,11 +29,11 @@ def register(c: Catalog) -> None:
 
     @q("w5_look_ahead", "SELECT event_id, lead(event_type, 1) OVER w AS next_1, lead(event_type, 2) OVER w AS next_2, lead(event_type, 3) OVER w AS next_3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
     def _(s, d):
-        return A.latest_before(ev(s, d), "user_id", [F.col("ts"), F.col("event_id")], 3, "event_type").select("event_id", "next_1", "next_2", "next_3")
+        return W.look_ahead(ev(s, d), "user_id", ["ts", "event_id"], 3, "event_type").select("event_id", "next_1", "next_2", "next_3")
 
     @q("w6_runs", """SELECT event_id, CAST(sum(changed) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS run FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS changed FROM events)""")
     def _(s, d):
-        return W.runs(ev(s, d), ["user_id"], [F.col("ts"), F.col("event_id")], "event_type").select("event_id", "run")
+        return W.runs(ev(s, d), ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "run")
 
     @q("w7_islands", """SELECT l_orderkey, min(a) AS a, max(b) AS b, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY a, b, k) AS island FROM (SELECT *, CASE WHEN a > coalesce(max(b) OVER (PARTITION BY l_orderkey ORDER BY a, b, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS fresh
         FROM (SELECT l_orderkey, l_linenumber AS k, l_partkey AS a, l_partkey + CAST(l_quantity AS BIGINT) * 5 AS b FROM lineitem))) GROUP BY l_orderkey, island""")

@@ -31,6 +31,11 @@ class Pipeline:
         return df
 
 
+    def manifest(self) -> list[tuple[str, int, str]]:
+        """(seam, place, name) of every step, in the order in which a table passes them."""
+        return [(seam, i, getattr(step, "__name__", type(step).__name__)) for seam in SEAMS for i, step in enumerate(self.steps[seam])]
+
+
 class Registry:
     """Functions by name, such as detectors and engines; arguments a function doesn't take are left out."""
 
@@ -47,3 +52,21 @@ class Registry:
 
         takes = inspect.signature(self.known[name]).parameters
         return self.known[name](**{k: v for k, v in arguments.items() if k in takes})
+
+    def status(self) -> dict[str, str]:
+        """For each name "ready", or why it can't be used: what its ``probe`` says or raises."""
+        found = {}
+        for name, f in sorted(self.known.items()):
+            try:
+                reason = getattr(f, "probe", lambda: None)()
+            except Exception as e:  # a probe may fail in any way
+                reason = str(e) or type(e).__name__
+            found[name] = "ready" if reason is None else str(reason)
+        return found
+
+
+def scored(df: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]], keys: list[str]) -> DataFrame:
+    """``df`` with a column for each scorer given from outside; a scorer makes (``keys``, score) of the table, and rows it leaves out have null."""
+    for name, f in scorers.items():
+        df = df.join(f(df).select(*keys, "score").withColumnRenamed("score", name), keys, "left")
+    return df

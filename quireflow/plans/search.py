@@ -95,3 +95,9 @@ def register(c: Catalog) -> None:
         gate = R.evidence_gate(asked(s, d).select(F.col("vec_id").alias("query_id")), hits)
         own = gate.select("query_id", "is_weak", F.explode(F.array(*[F.lit(k) for k in (10, 20, 30, 40)])).alias("k"))
         return own.select("query_id", "k", F.when(F.col("is_weak"), R.wider(F.col("k"))).alias("next_k"))
+
+    @q("v11_gated_search", f"""SELECT q.query_id, CASE WHEN r IS NULL THEN 40 ELSE least(40, greatest(10, CAST(10 + ceil((r - 10) / 10) * 10 AS INT))) END AS k_used, r IS NULL AS abstains FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 50 = 0) q LEFT JOIN
+        (SELECT query_id, min(rank) AS r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM {SCORED} WHERE query_id <> item_id) WHERE rank <= 40 AND score >= 0.55 GROUP BY 1) h ON q.query_id = h.query_id""")
+    def _(s, d):
+        hits = R.exact_top_k(items(s, d), asked(s, d), "vec_id", "embedding", k=40, skip_self=True)
+        return R.gated_search(asked(s, d).select(F.col("vec_id").alias("query_id")), hits)

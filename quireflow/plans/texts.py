@@ -147,3 +147,10 @@ def register(c: Catalog) -> None:
     @q("t25_redact", "SELECT doc_id, " + "regexp_replace(" * 2 + "text, '" + T.PERSONAL["EMAIL"] + "', '[EMAIL]', 'g'), '" + T.PERSONAL["PHONE"] + "', '[PHONE]', 'g') AS redacted FROM documents")
     def _(s, d):
         return table(s, d, "documents").select("doc_id", T.redact(F.col("text")).alias("redacted"))
+
+    @q("t25_spans", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value, true AS stands_there FROM documents WHERE text IS NOT NULL" for k, p in T.PERSONAL.items()))
+    def _(s, d):
+        own = table(s, d, "documents").where("text IS NOT NULL")
+        parts = [own.select("doc_id", "text", F.lit(k).alias("kind"), F.explode(T.personal_spans("text", k)).alias("s")) for k in T.PERSONAL]
+        there = F.expr("substring(text, s.start + 1, s.end - s.start) = s.value")
+        return parts[0].unionByName(parts[1]).select("doc_id", "kind", "s.value", there.alias("stands_there"))

@@ -198,3 +198,30 @@ def test_machine_folder_is_refused_on_a_cluster():
     conf = SimpleNamespace(get=lambda k, d=None: {"spark.master": "spark://host:7077"}.get(k, d))
     with pytest.raises(ValueError):
         shared_dir(SimpleNamespace(conf=conf))
+
+
+def test_pipeline_parts(spark):
+    from quireflow.plans.pipeline import Pipeline, Registry, scored
+
+    def tidy(df):
+        return df.where("x > 1")
+
+    p = Pipeline().at("after_ocr", tidy).at("after_load", tidy)
+    assert p.manifest() == [("after_load", 0, "tidy"), ("after_ocr", 0, "tidy")]
+    df = spark.createDataFrame([(1,), (2,), (3,)], "x int")
+    assert p.run(df).count() == 2
+    made = scored(df, {"twice": lambda d: d.where("x < 3").select("x", (F.col("x") * 2.0).alias("score"))}, ["x"])
+    assert sorted(tuple(r) for r in made.collect())[:2] == [(1, 2.0), (2, 4.0)] and made.where("twice IS NULL").count() == 1
+    r, engine = Registry(), lambda: None
+    broken = lambda: None
+    broken.probe = lambda: "no weights"
+    r.add("a", engine)
+    r.add("b", broken)
+    assert r.status() == {"a": "ready", "b": "no weights"}
+
+
+def test_gated_search(spark):
+    hits = spark.createDataFrame([("a", 1, 0.9), ("b", 11, 0.6), ("c", 1, 0.1), ("d", 40, 0.56)], "query_id string, rank int, score double")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "query_id string")
+    got = {r["query_id"]: (r["k_used"], r["abstains"]) for r in R.gated_search(asked, hits).collect()}
+    assert got == {"a": (10, False), "b": (20, False), "c": (40, True), "d": (40, False), "e": (40, True)}
