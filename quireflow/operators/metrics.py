@@ -21,13 +21,14 @@ def char_error(hypothesis: Column, reference: Column, empty: str = "scorer") ->
 
 
 def word_edits(hypothesis: Column | str, reference: Column | str) -> Column:
-    """Edits between the words of two texts, in the JVM: each distinct word becomes one character, and characters are compared."""
-    a, b = words(F.col(hypothesis) if isinstance(hypothesis, str) else hypothesis), words(F.col(reference) if isinstance(reference, str) else reference)
+    """Edits between the words of two texts, in the JVM: each distinct word becomes one character, and characters are compared. Null where a text is null."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (hypothesis, reference))
+    a, b = words(x), words(y)
     known = F.array_distinct(F.concat(a, b))
     # Planes beyond the first hold a million characters, and none of them is half of a pair.
     sign = lambda w: F.lpad(F.hex(F.array_position(known, w) + 0x10000), 8, "0")
     coded = lambda ws: F.decode(F.unhex(F.array_join(F.transform(ws, sign), "")), "UTF-32")
-    return F.levenshtein(coded(a), coded(b))
+    return F.when(x.isNotNull() & y.isNotNull(), F.levenshtein(coded(a), coded(b)))
 
 
 def word_f1(pairs: DataFrame, key: str, hypothesis: str, reference: str, multiset: bool = True, both_empty: float = 1.0) -> DataFrame:
