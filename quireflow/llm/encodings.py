@@ -287,7 +287,8 @@ def _plan(text: str, given: list[tuple[str, str | None, int]]) -> Iterator[tuple
         elif chain is not None or (found and main is not None):
             if chain is not None and CHAINS[chain][0][0] in WIDE:
                 found.append(_BEYOND.sub(lambda m: _within(m.group(), CHAINS[chain]), token))
-            yield ("word" if chain is None else "back"), token, found
+            # A chain that lengthens text, taken back, leaves no doubt; of others the corpus must hold the word.
+            yield ("word" if chain is None and CHAINS[main][0][0] not in WIDE else "back"), token, found
     for m in _BEYOND.finditer(text):
         if "\ufffd" in m.group():
             for unit in _contexts(text, m.start(), m.end()):
