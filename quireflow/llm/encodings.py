@@ -63,6 +63,8 @@ EXPECTED_TIMES = 5
 SIGN_SHARE = 0.75
 #: Length of a run beyond which it is judged by pairs of signs.
 RUN = 12
+#: Bytes in memory up to which a side of a join is broadcast; ``_side`` measures them.
+SENT_BYTES = 16_000_000
 
 _TOKEN = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]*[\x80-\U0010ffff][0-9A-Za-z\x80-\U0010ffff]*")
 _BEYOND = re.compile(r"[\x80-\U0010ffff]+")
@@ -163,6 +165,16 @@ def _form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["form", "chain", "clean", "n_clean", "rows_clean"])
 
 
+def _side(df: DataFrame) -> DataFrame:
+    """The smaller side of a join over the corpus, cheap to read: broadcast up to ``SENT_BYTES``, merged in order beyond.
+
+    Spark takes the size from compressed files and does not see what lists and batches are
+    unfolded to, so sides it takes for small can fill the driver. The other joins here are merged.
+    """
+    row = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(64))
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= SENT_BYTES else df.hint("merge")
+
+
 def _garbled(units: DataFrame, unit: str, times: tuple[int, int]) -> DataFrame:
     """(``unit``, clean, chain) of the units that are a garbled form of one that is so many times as frequent.
 
@@ -174,7 +186,7 @@ def _garbled(units: DataFrame, unit: str, times: tuple[int, int]) -> DataFrame:
     least = F.when(_long_chain(), F.lit(times[0])).otherwise(F.lit(times[1]))
     by_texts = F.col("n_clean") >= least * F.col("n")
     by_rows = (F.col("rows_clean") >= least * F.col("n_rows")) & (_long_chain() | (F.col("n") <= least * F.col("n_clean")))
-    met = units.join(table, F.col(unit) == F.col("form")).where(by_texts | by_rows)
+    met = units.join(table.hint("merge"), F.col(unit) == F.col("form")).where(by_texts | by_rows)
     best = met.groupBy(unit).agg(F.first("n").alias("n"), F.min_by(F.struct("clean", "chain", "n_clean"), F.struct(-F.col("n_clean"), -F.col("rows_clean"), "chain")).alias("b"))
     return best.select(unit, "n", "b.clean", "b.chain", "b.n_clean")
 
@@ -206,13 +218,13 @@ def garbled_tokens(words: DataFrame) -> DataFrame:
     cut = materialize(words.mapInArrow(_piece_batches, "token string, n bigint, n_rows bigint, pieces array<string>"), "encoding-pieces")
     exploded = cut.select("token", "n", "n_rows", F.explode("pieces").alias("piece"))
     units = materialize(exploded.groupBy("piece").agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows")), "encoding-units")
-    bad = _garbled(units, "piece", PIECE_TIMES)
+    bad = materialize(_garbled(units, "piece", PIECE_TIMES), "encoding-bad")
     # Signs that stand far more often than the chain garbles words are written as they are. A single sign without its neighbours tells nothing.
     likely = bad.where(~_long_chain() & (F.length("piece") > 1)).join(F.broadcast(seen), "chain").where(F.col("n") <= 1 + EXPECTED_TIMES * F.col("share") * F.col("n_clean"))
     bad = bad.where(_long_chain()).select("piece", "chain").unionByName(likely.select("piece", "chain"))
-    votes = exploded.select("token", "piece").join(bad, "piece").groupBy("token", "chain").agg(F.count("*").alias("votes"))
+    votes = exploded.select("token", "piece").join(_side(bad), "piece").groupBy("token", "chain").agg(F.count("*").alias("votes"))
     partly = votes.groupBy("token").agg(F.min_by("chain", F.struct(-F.col("votes"), "chain")).alias("chain"))
-    found = whole.select("token", "clean", "chain").unionByName(partly.join(whole, "token", "left_anti").select("token", F.lit(None).cast("string").alias("clean"), "chain"))
+    found = whole.select("token", "clean", "chain").unionByName(partly.join(whole.hint("merge"), "token", "left_anti").select("token", F.lit(None).cast("string").alias("clean"), "chain"))
     return materialize(found, "encoding-found")
 
 
@@ -220,7 +232,7 @@ def find_garbled(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key`` of the rows whose text is garbled, wholly or in part."""
     read = _own(df, key, text)
     bad = garbled_tokens(_words(read))
-    soft = read.where("NOT hard").select("key", F.explode("tokens").alias("token")).join(bad.select("token"), "token", "left_semi")
+    soft = read.where("NOT hard").select("key", F.explode("tokens").alias("token")).join(_side(bad.select("token")), "token", "left_semi")
     return read.where("hard").select("key").unionByName(soft.select("key")).distinct().withColumnRenamed("key", key)
 
 
@@ -358,27 +370,27 @@ def restore(df: DataFrame, key: str, text: str) -> DataFrame:
     read = _own(df, key, text)
     words = _words(read)
     bad = garbled_tokens(words)
-    given = read.select("key", F.explode("tokens").alias("token")).join(bad, "token").groupBy("key").agg(F.collect_list(F.struct("token", "clean", "chain")).alias("given"))  # tokens of one text
+    given = read.select("key", F.explode("tokens").alias("token")).join(_side(bad), "token").groupBy("key").agg(F.collect_list(F.struct("token", "clean", "chain")).alias("given"))  # tokens of one text
     found = read.where("hard").select("key").join(given, "key", "full")
     own = df.select(df[key].alias("key"), df[text].alias("text"))
-    found = materialize(own.join(found, "key").select("key", "text", "given"), "encoding-rows")
+    found = materialize(own.join(found.hint("merge"), "key").select("key", "text", "given"), "encoding-rows")
     plan = materialize(found.mapInArrow(_plan_batches, f"key {kind}, kind string, token string, unit string, folded string, at int"), "encoding-plan")
-    good = words.join(bad.select("token"), "token", "left_anti").where(~F.col("token").contains("\ufffd"))
-    held = plan.where("kind IN ('word', 'back')").join(good.select(F.col("token").alias("folded"), F.lit(True).alias("held")), "folded", "left")
+    good = words.join(bad.select("token").hint("merge"), "token", "left_anti").where(~F.col("token").contains("\ufffd"))
+    held = plan.where("kind IN ('word', 'back')").join(good.select(F.col("token").alias("folded"), F.lit(True).alias("held")).hint("merge"), "folded", "left")
     # Of what the pieces say something is garbled the first reading is taken even if the corpus holds none.
     chosen = held.where("held OR kind = 'back'").groupBy("key", "kind", "token").agg(F.min_by("unit", F.struct(F.col("held").isNull(), "at")).alias("to"))
     fit = plan.where("kind = 'fit'").select("key", "kind", "token", "unit")
-    skeletons = good.withColumn("unit", F.regexp_replace("token", r"[\x{80}-\x{10ffff}]+", "\ufffd")).join(fit.select("unit").distinct(), "unit", "left_semi")
+    skeletons = good.withColumn("unit", F.regexp_replace("token", r"[\x{80}-\x{10ffff}]+", "\ufffd")).join(fit.select("unit").distinct().hint("merge"), "unit", "left_semi")
     best = skeletons.groupBy("unit").agg(F.max_by("token", F.struct("n", "token")).alias("to"))
     signs = own.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("text").mapInArrow(_sign_batches, "unit string, sign string, n bigint").groupBy("unit", "sign").agg(F.sum("n").alias("n"))
-    signs = signs.join(plan.where("kind = 'sign'").select("unit").distinct(), "unit", "left_semi").groupBy("unit").agg(F.max_by("sign", F.struct("n", "sign")).alias("to"), F.max("n").alias("most"), F.sum("n").alias("all_signs"))
+    signs = signs.join(plan.where("kind = 'sign'").select("unit").distinct().hint("merge"), "unit", "left_semi").groupBy("unit").agg(F.max_by("sign", F.struct("n", "sign")).alias("to"), F.max("n").alias("most"), F.sum("n").alias("all_signs"))
     signs = signs.select("unit", F.when(F.col("most") >= SIGN_SHARE * F.col("all_signs"), F.col("to")).otherwise("").alias("to"))
     fixes = (
         plan.where("kind = 'is'").select("key", "kind", "token", F.col("unit").alias("to"))
         .unionByName(chosen)
-        .unionByName(fit.join(best, "unit").select("key", "kind", "token", "to"))
-        .unionByName(plan.where("kind = 'sign'").select("key", "kind", "token", "unit").distinct().join(signs, "unit").select("key", "kind", "token", "to"))
+        .unionByName(fit.join(best.hint("merge"), "unit").select("key", "kind", "token", "to"))
+        .unionByName(plan.where("kind = 'sign'").select("key", "kind", "token", "unit").distinct().join(signs.hint("merge"), "unit").select("key", "kind", "token", "to"))
         .groupBy("key").agg(F.collect_list(F.struct("kind", "token", "to")).alias("fixes"))
     )
-    done = found.select("key", "text").join(fixes, "key", "left").mapInArrow(_restore_batches, f"key {kind}, restored_text string, restorable boolean")
+    done = found.select("key", "text").join(fixes.hint("merge"), "key", "left").mapInArrow(_restore_batches, f"key {kind}, restored_text string, restorable boolean")
     return done.withColumnRenamed("key", key)

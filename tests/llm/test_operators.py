@@ -385,6 +385,23 @@ def test_garbled(spark):
     assert encodings.find_garbled(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_garbled_sides_by_real_size(spark, monkeypatch):
+    """No side that grows with the data is broadcast because Spark takes it for small; only the chains, a row each."""
+    rows = [(i, "Zoë prepared naïve poultices for the hæmorrhage of café owners in 1887") for i in range(20)]
+    rows += [(100 + i, encodings.misread(rows[0][1], (("utf-8", "cp1252"),))) for i in range(3)] + [(200, "The ca\ufffde is open to hæmorrhage of Zo\ufffd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plans, write = [], encodings.materialize
+    monkeypatch.setattr(encodings, "materialize", lambda d, label: plans.append(d) or write(d, label))
+    small = [sorted(map(tuple, f(df, "doc_id", "text").collect())) for f in (encodings.find_garbled, encodings.restore)]
+    assert [r[0] for r in small[0]] == [r[0] for r in small[1]] == [100, 101, 102, 200]
+    plans.clear()
+    monkeypatch.setattr(encodings, "SENT_BYTES", 0, raising=False)
+    results = [f(df, "doc_id", "text") for f in (encodings.find_garbled, encodings.restore)]
+    joins = [x for d in plans + results for x in d._jdf.queryExecution().sparkPlan().toString().split("\n") if "BroadcastHashJoin" in x]
+    assert joins and all("BroadcastHashJoin [chain#" in x for x in joins)
+    assert [sorted(map(tuple, d.collect())) for d in results] == small
+
+
 def test_garbled_copies(spark):
     clean = "Größe und Käse benötigt"
     rows = [(i, f"{clean} {i}") for i in range(12)]
