@@ -78,8 +78,11 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str, shares: dict[
     low, high = F.floor("_p.at"), F.ceil("_p.at")
     at = lambda k: F.max(F.when((F.col("_low") <= k) & (F.col("_high") >= k), F.col("_v")))
     ends = near.groupBy(*group, F.col("_p.name").alias("_name"), F.col("_p.at").alias("_at")).agg(at(low).alias("_a"), at(high).alias("_b"))
-    value_ = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))
-    return ends.groupBy(*group).agg(*[F.max(F.when(F.col("_name") == name, value_)).alias(name) for name in shares])
+    part = F.col("_at") - F.floor("_at")
+    # To the last digit as DuckDB has it: low * (1 - part) + high * part with one rounding of product and sum. A value at the place itself is taken as it is.
+    fused = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), F.col("_a"), 1 - part, F.col("_b") * part).cast("double")
+    ends = ends.withColumn("_value", F.when(part == 0, F.col("_a")).otherwise(fused))
+    return ends.groupBy(*group).agg(*[F.max(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in shares])
 
 
 #: Ranges that the values of a group are cut into.

@@ -73,7 +73,7 @@ def register(c: Catalog) -> None:
     @q("a15_percentiles", "SELECT quantile_cont(value, [0, 0.05, 0.25, 0.5, 0.75, 0.95, 1]) AS ps FROM events")
     def _(s, d):
         shares = {f"p{i}": float(x) for i, x in enumerate((0, 0.05, 0.25, 0.5, 0.75, 0.95, 1))}
-        return A.exact_percentiles(ev(s, d), [], "value", shares).select(F.array(*shares).alias("ps"))
+        return A.exact_percentiles(ev(s, d), [], "value", shares).select(F.when(F.col("p0").isNotNull(), F.array(*shares)).alias("ps"))
 
     @q("a16_cut_buckets", """SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN value <= lo THEN 'low' WHEN value >= hi THEN 'high' ELSE 'middle' END AS bucket FROM events, (SELECT quantile_cont(value, 0.15) AS lo, quantile_cont(value, 0.85) AS hi FROM events)) GROUP BY 1""")
     def _(s, d):

@@ -13,7 +13,9 @@ from quireflow.operators import recovery as V
 from quireflow.operators import retrieval as R
 from quireflow.operators import transcripts as X
 from quireflow.operators import vectors, wordboxes
+from quireflow.plans import catalog
 from quireflow.sources import jsonl
+from tests.oracle import duck
 
 
 def test_reading_order_and_labels(spark):
@@ -130,6 +132,18 @@ def test_exact_percentiles(spark, n):
     assert "b" not in got and A.exact_percentiles(df.limit(0), ["g"], "v", shares).count() == 0
 
 
+HUNDREDTHS = [float(v) / 100 for v in np.random.default_rng(5).integers(0, 40_000, 300)]
+
+
+@pytest.mark.parametrize("values", [HUNDREDTHS, [0.1, 0.7], [3.0], [], [None, None], [1.0, None, float("inf"), 2.5, float("-inf"), 7.1, float("inf")], [0.3, float("nan"), 0.1, float("-inf")]])
+def test_percentiles_to_the_last_digit(spark, tmp_path, values):
+    """a15_percentiles and its SQL on the same files, with no digit rounded off."""
+    spark.createDataFrame([(v,) for v in values], "value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = catalog()
+    found = [r["ps"] for r in c.queries["a15_percentiles"](spark, str(tmp_path)).collect()]
+    assert repr(found) == repr([r[0] for r in duck(tmp_path).sql(c.sql["a15_percentiles"]).fetchall()])
+
+
 def test_exact_search_in_passes(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.integers(-3, 4, (300, 8)).astype(float)
