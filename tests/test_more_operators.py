@@ -184,6 +184,37 @@ def test_bm25_reads_any_script(spark):
     assert [r["item_id"] for r in R.bm25(items, asked, "i", "t", "q", "t").collect()] == [1]
 
 
+def _shuffled_rows(spark):
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_bm25_exchanges_no_pairs(spark):
+    items = spark.range(2000).selectExpr("id", "concat('the leaf of number', id % 97, ' and number', id % 89) AS t")
+    asked = spark.range(600).selectExpr("id AS q", "concat('the number', id % 97, ' of number', id) AS t")
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    before = _shuffled_rows(spark)
+    assert R.bm25(items, asked, "id", "t", "q", "t").count() == 6000
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    assert _shuffled_rows(spark) - before < 100_000  # of 1,200,000 pairs that share a term
+
+
+def test_bm25_counts_rows_of_one_id_together_and_breaks_ties_by_id(spark):
+    rows = [(i, f"bark {'dose ' * (i % 3)}") for i in range(40)] + [(7, "bark of the oak, of the elm"), (8, None), (None, "dose"), (None, "oak dose")]
+    items = spark.createDataFrame(rows, "i int, t string")
+    asked = spark.createDataFrame([("a", "Dose of bark?"), ("b", "bark of (dose)"), ("c", "unheard"), ("d", None), ("e", "the bark"), ("e", "the oak")], "q string, t string")
+    found = {(r["query_id"], r["rank"]): (r["item_id"], r["score"]) for r in R.bm25(items, asked, "i", "t", "q", "t").collect()}
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).extend("".join(c if c.isalnum() else " " for c in (t or "").lower()).split())
+    mean = sum(map(len, texts.values())) / len(rows)
+    for q, words in (("a", {"dose", "of", "bark"}), ("b", {"bark", "of", "dose"}), ("c", {"unheard"}), ("d", set()), ("e", {"the", "bark", "oak"})):
+        df = {w: sum(w in x for x in texts.values()) for w in words}
+        score = {i: round(sum(np.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * x.count(w) * 2.2 / (x.count(w) + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w in words if w in x), 6) for i, x in texts.items() if i is not None}
+        best = sorted(((-s, i) for i, s in score.items() if s > 0))[:10]
+        assert [found.get((q, n + 1)) for n in range(len(best))] == [(i, pytest.approx(-s)) for s, i in best] and (q, len(best) + 1) not in found
+
+
 def test_best_threshold_and_selection(spark):
     scores = spark.createDataFrame([(0.9, False), (0.8, False), (0.3, True), (0.2, True)], "score double, is_negative boolean")
     r = M.best_threshold(scores).first()
