@@ -215,6 +215,16 @@ def test_bm25_counts_rows_of_one_id_together_and_breaks_ties_by_id(spark):
         assert [found.get((q, n + 1)) for n in range(len(best))] == [(i, pytest.approx(-s)) for s, i in best] and (q, len(best) + 1) not in found
 
 
+@pytest.mark.parametrize("name,rows", [("e12_select_best", [("single", 1.0, 1.0)]), ("e9_page_metrics", [("q1", 1), ("q2", 1), ("q50", 1)])])
+def test_metrics_of_pages_take_all_questions(spark, tmp_path, name, rows):
+    texts = [(1, "d", "oak bark", ["p1"]), (2, "d", "elm leaf", ["p2"])]
+    spark.createDataFrame(texts, "row_id bigint, doc_id string, text string, page_ids array<string>").write.parquet(str(tmp_path / "chunks.parquet"))
+    asked = [("q1", "single", "oak?", "d", ["p1"]), ("q2", "single", "a leaf", "d", ["p2"]), ("q50", "zweifold", "the bark", "d", ["p1", "p2"])]
+    spark.createDataFrame(asked, "query_id string, type string, question string, doc_id string, page_ids array<string>").write.parquet(str(tmp_path / "retrieval_queries.parquet"))
+    found = catalog().queries[name](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in (found.select("query_id", "hit_at_1") if name[:2] == "e9" else found).collect()) == rows
+
+
 def test_best_threshold_and_selection(spark):
     scores = spark.createDataFrame([(0.9, False), (0.8, False), (0.3, True), (0.2, True)], "score double, is_negative boolean")
     r = M.best_threshold(scores).first()
