@@ -168,6 +168,16 @@ def test_ivf_recall(spark, monkeypatch):
     assert R.ivf_top_k(df.limit(0), asked, "id", "v").count() == 0
 
 
+def test_hashed_vectors_do_not_sum_for_every_place(spark):
+    texts = spark.createDataFrame([(1, "oak bark oak"), (2, "elm"), (3, None)], "i int, t string")
+    vectors_ = R.hashed_vectors(texts, "i", "t")
+    raw = {r["i"]: np.array(r["vector"]) for r in R.hashed_vectors(texts, "i", "t", unit_length=False).collect()}
+    for r in vectors_.collect():
+        assert np.allclose(r["vector"], raw[r["i"]] / np.linalg.norm(raw[r["i"]]))
+    # No sum over the vector stands within another function over it.
+    assert "aggregate(" not in vectors_._jdf.queryExecution().optimizedPlan().toString().lower().replace("hashaggregate(", "")
+
+
 def test_two_level_cells():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(6000, 16)).astype(np.float32)
